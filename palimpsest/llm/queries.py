@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.bpe import bpe_round_trip
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.mixing import poisson_mix
 from palimpsest.llm.sharding import shard_by_bytes
@@ -33,10 +34,17 @@ def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mix_rate", F.round("mix_rate", 9))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_minimax_shards": op5_minimax_shards,
     "op8_poisson_mix": op8_poisson_mix,
+    "op10_bpe": op10_bpe,
 }
 
 _HASHED = "('0x' || substr(md5('{seed}:' || coalesce(cast(doc_id as varchar), '~') || ':' || {part}), 1, 12))::bigint"
