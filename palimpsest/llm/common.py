@@ -144,3 +144,28 @@ def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     o = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     d = np.frombuffer(data, np.uint8)[o[0] : o[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
     return d, o[1:] - o[0]
+
+
+def slices(column, most: int = 2_000_000):
+    """(first row, end row, bytes, ends) of consecutive parts of an Arrow string column; a part holds at most ``most``
+    bytes or a single value, so the arrays built over it stay bounded."""
+    data, ends = arrow_bytes(column)
+    first, base = 0, 0
+    while first < len(ends):
+        end = max(first + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield first, end, data[base : ends[end - 1]], ends[first:end] - base
+        first, base = end, int(ends[end - 1])
+
+
+def runs_of(mask: np.ndarray, ends: np.ndarray, least: int):
+    """Maximal runs of ``mask`` within one text and of at least that length: (start, stop, text index)."""
+    n = len(mask)
+    edge = np.zeros(n + 1, bool)
+    edge[ends[ends < n]] = True
+    begin, close = mask.copy(), mask.copy()
+    begin[1:] &= ~mask[:-1] | edge[1:n]
+    close[:-1] &= ~mask[1:] | edge[1:n]
+    start, stop = np.flatnonzero(begin), np.flatnonzero(close) + 1
+    long = stop - start >= least
+    start, stop = start[long], stop[long]
+    return start, stop, np.searchsorted(ends, start, side="right")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.bpe import bpe_round_trip
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.mixing import poisson_mix
+from palimpsest.llm.secret_scan import corpus_words, find_secrets, train
 from palimpsest.llm.sharding import shard_by_bytes
 
 MIX_SEED = 20
@@ -19,6 +20,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = find_secrets(docs, train(corpus_words(docs)))
+    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(written(F.filter("spans", lambda x: x["kind"] != "markov")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        count("markov").alias("n_markov"),
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(documents(spark, sf_dir), keep="max")
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -41,6 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_markov_secrets": op1_markov_secrets,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_minimax_shards": op5_minimax_shards,
     "op8_poisson_mix": op8_poisson_mix,
