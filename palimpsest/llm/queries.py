@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm import language_id, toxicity
 from palimpsest.llm.bpe import bpe_round_trip
+from palimpsest.llm.common import held_out
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.mixing import poisson_mix
 from palimpsest.llm.secret_scan import corpus_words, find_secrets, train
@@ -39,6 +41,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(documents(spark, sf_dir), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -49,6 +56,12 @@ def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mix_rate", F.round("mix_rate", 9))
 
 
+def op9_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,8 +71,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_markov_secrets": op1_markov_secrets,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_byte_gru_language": op3_byte_gru_language,
     "op5_minimax_shards": op5_minimax_shards,
     "op8_poisson_mix": op8_poisson_mix,
+    "op9_gru_toxicity": op9_gru_toxicity,
     "op10_bpe": op10_bpe,
 }
 
