@@ -8,9 +8,39 @@ before the first element leaves no trace.
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import contextmanager
+from functools import cache
+from pathlib import Path
+
 import numpy as np
 
 
+@cache
+def _blas() -> list[tuple]:
+    found = []
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        lib = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_{}_num_threads64_", "scipy_openblas_{}_num_threads", "openblas_{}_num_threads64_", "openblas_{}_num_threads"):
+            if hasattr(lib, name.format("set")) and hasattr(lib, name.format("get")):
+                found.append((getattr(lib, name.format("get")), getattr(lib, name.format("set"))))
+                break
+    return found
+
+
+@contextmanager
+def one_thread():
+    """The matrices here are too small for BLAS threads, which would only wait for one another."""
+    before = [get() for get, _ in _blas()]
+    for _, put in _blas():
+        put(1)
+    try:
+        yield
+    finally:
+        for (_, put), n in zip(_blas(), before, strict=True):
+            put(n)
+
+
 class BiGRU:
     def __init__(self, hidden: int, rng: np.random.Generator):
         self.h = hidden

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import held_out, slices
-from palimpsest.llm.gru import Adam, BiGRU
+from palimpsest.llm.gru import Adam, BiGRU, one_thread
 
 #: Most labelled documents that the network learns from, taken by the order of a hash of the id within each language.
 TRAIN_DOCS = 1200
@@ -133,7 +133,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         top = rows.where(F.col(label_col) == name).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).orderBy("h").limit(each)
         sample += [(r["t"].encode(), i) for r in top.collect()]
     model = ByteTagger(labels)
-    model.fit([t for t, _ in sample], [y for _, y in sample])
+    with one_thread():
+        model.fit([t for t, _ in sample], [y for _, y in sample])
     return model
 
 

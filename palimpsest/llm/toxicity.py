@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import held_out, mix64, runs_of, slices, words_of
-from palimpsest.llm.gru import Adam, BiGRU
+from palimpsest.llm.gru import Adam, BiGRU, one_thread
 
 #: Most labelled documents per label that the network learns from, by the order of a hash of the id.
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 900, 1500
@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(kept), "_id")  # at most TRAIN_POSITIVE + TRAIN_NEGATIVE rows
     rows = sorted((r["_h"], r["_t"] or "", r["_y"]) for r in rows.collect())
     model = WindowScorer()
-    model.fit([t.encode() for _, t, _ in rows], [y for _, _, y in rows])
+    with one_thread():
+        model.fit([t.encode() for _, t, _ in rows], [y for _, _, y in rows])
     return model
 
 
