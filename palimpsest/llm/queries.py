@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import language_id, toxicity
+from palimpsest.llm import ann, language_id, toxicity
 from palimpsest.llm.bpe import bpe_round_trip
 from palimpsest.llm.common import held_out
 from palimpsest.llm.exact_dedup import exact_dedup
@@ -51,6 +51,10 @@ def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = poisson_mix(documents(spark, sf_dir), seed=MIX_SEED)
     return out.withColumn("mix_rate", F.round("mix_rate", 9))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_gru_language": op3_byte_gru_language,
     "op5_minimax_shards": op5_minimax_shards,
+    "op7_ivf_pq": op7_ivf_pq,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_gru_toxicity": op9_gru_toxicity,
     "op10_bpe": op10_bpe,
