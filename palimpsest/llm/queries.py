@@ -14,6 +14,7 @@ from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.mixing import poisson_mix
 from palimpsest.llm.secret_scan import corpus_words, find_secrets, train
 from palimpsest.llm.sharding import shard_by_bytes
+from palimpsest.llm.substring_dedup import remove_repeated_windows
 
 MIX_SEED = 20
 
@@ -46,6 +47,11 @@ def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_windows(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(documents(spark, sf_dir), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_markov_secrets": op1_markov_secrets,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_gru_language": op3_byte_gru_language,
+    "op4_count_min_substrings": op4_count_min_substrings,
     "op5_minimax_shards": op5_minimax_shards,
     "op7_ivf_pq": op7_ivf_pq,
     "op8_poisson_mix": op8_poisson_mix,
