@@ -1,5 +1,72 @@
-STAGES, ORACLE_SQL = [], None
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, tokenizing.
 
+Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of ``documents``.
+"""
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import language_id
+from palimpsest.llm.bpe import bpe_round_trip
+from palimpsest.llm.common import staged
+from palimpsest.llm.exact_dedup import exact_dedup
+from palimpsest.llm.mixing import poisson_mix
+from palimpsest.llm.ngram_join import ngram_join
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOKENIZER = "byte_bpe_50k.json"
+MIX_SEED = 20
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``kept``. Rows without an id can't be decided on by id and stay out."""
+    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language; those without text or letters (``und``) go."""
+    labelled = language_id.identify(docs, language_id.train(docs))
+    return only(docs, labelled.where("lang_pred <> 'und'"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id."""
+    return only(docs, exact_dedup(docs, keep="max").where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the row with the smallest id (five words, similarity 0.75 or more)."""
+    return only(docs, ngram_join(docs, n=5, percent=75).where("doc_id = component_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in equal parts, rows repeated or left out by their Poisson counts, in shuffled order."""
+    return poisson_mix(docs, seed=MIX_SEED).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    return bpe_round_trip(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", tokenize),
+]
+
+#: Language ID and BPE can't be written in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

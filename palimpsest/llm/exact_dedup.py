@@ -83,20 +83,20 @@ class DigestIndex:
         return self.entries().where(F.col("digest").isin([bytearray(d) for d in digests]))
 
 
-def hit_filter(hits: DataFrame, n_hits: int) -> Callable[[Column], Column]:
-    """A test that no digest among ``hits`` fails, from one bitmap of at most MAX_FILTER_BITS bits."""
+def hit_filter(hits: DataFrame, n_hits: int, column: str = "digest") -> Callable[[Column], Column]:
+    """A test that no value among ``hits`` fails, from one bitmap of at most MAX_FILTER_BITS bits."""
     bits = min(MAX_FILTER_BITS, 1 << max(13, ceil(log2(16 * n_hits + 1))))
     slot = lambda d: F.pmod(F.xxhash64(d), F.lit(bits)).cast("int")
     low = lambda s: (s.bitwiseAND(63)).cast("int")
-    set_bits = hits.select(slot(F.col("digest")).alias("s")).select(
+    set_bits = hits.select(slot(F.col(column)).alias("s")).select(
         F.shiftright("s", 6).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), low(F.col("s"))).alias("b")
     )
     blank = hits.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
     words = set_bits.unionByName(blank).groupBy("w").agg(F.bit_or("b").alias("b"))
     bitmap = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bitmap"))
 
-    def test(digest: Column) -> Column:
-        s = slot(digest)
+    def test(value: Column) -> Column:
+        s = slot(value)
         word = F.element_at(bitmap.scalar(), F.shiftright(s, 6) + 1)
         return F.call_function("shiftrightunsigned", word, low(s)).bitwiseAND(F.lit(1).cast("long")) == 1
 

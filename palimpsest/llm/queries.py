@@ -12,6 +12,7 @@ from palimpsest.llm.bpe import bpe_round_trip
 from palimpsest.llm.common import held_out
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.mixing import poisson_mix
+from palimpsest.llm.ngram_join import ngram_join
 from palimpsest.llm.secret_scan import corpus_words, find_secrets, train
 from palimpsest.llm.sharding import shard_by_bytes
 from palimpsest.llm.substring_dedup import remove_repeated_windows
@@ -57,6 +58,10 @@ def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_ngram_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir), n=5, percent=75)
+
+
 def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_gru_language": op3_byte_gru_language,
     "op4_count_min_substrings": op4_count_min_substrings,
     "op5_minimax_shards": op5_minimax_shards,
+    "op6_ngram_rtree": op6_ngram_rtree,
     "op7_ivf_pq": op7_ivf_pq,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_gru_toxicity": op9_gru_toxicity,
