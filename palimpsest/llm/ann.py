@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palimpsest.llm.common import staged
+from palimpsest.llm.common import hashed_sample, staged
 from palimpsest.llm.gru import one_thread
 
 #: Most vectors that centroids and codebooks are fitted on, by the order of a hash of the id.
@@ -116,7 +116,7 @@ def build(vectors: DataFrame) -> IvfPq | None:
     n = vectors.count()
     if not n:
         return None
-    rows = vectors.select(F.xxhash64("id").alias("h"), "id", "vec").orderBy("h", "id").limit(SAMPLE).toArrow()
+    rows = hashed_sample(vectors.select("id", "vec"), "id", SAMPLE).toArrow()
     return IvfPq(np.array(rows.column("vec").to_pylist(), np.float32), min(MAX_LISTS, max(1, isqrt(n))))
 
 

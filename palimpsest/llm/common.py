@@ -49,6 +49,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def hashed_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hash of the id, in that order (column ``_h``).
+
+    A threshold on the hash leaves about twice as many rows, so tasks send no more than that between them."""
+    n, h = rows.count(), F.xxhash64(id_col)
+    if n > 4 * most:
+        rows = rows.where(h < int(2 * most / n * 2**64) - 2**63)
+    return rows.withColumn("_h", h).orderBy("_h").limit(most)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit values (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(31))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import held_out, slices
+from palimpsest.llm.common import hashed_sample, held_out, slices
 from palimpsest.llm.gru import Adam, BiGRU, one_thread
 
 #: Most labelled documents that the network learns from, taken by the order of a hash of the id within each language.
@@ -130,7 +130,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     each = -(-most // len(labels))
     sample: list = []
     for i, name in enumerate(labels):
-        top = rows.where(F.col(label_col) == name).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).orderBy("h").limit(each)
+        top = hashed_sample(rows.where(F.col(label_col) == name).select(id_col, F.col(text_col).alias("t")), id_col, each)
         sample += [(r["t"].encode(), i) for r in top.collect()]
     model = ByteTagger(labels)
     with one_thread():

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import runs_of, slices
+from palimpsest.llm.common import hashed_sample, runs_of, slices
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -76,8 +76,8 @@ def labelled_samples(seed: int = 7, n: int = 12000) -> list[tuple[str, int]]:
 def corpus_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[str]:
     """Ordinary samples from the corpus: long alphabetic words of at most SAMPLE_DOCS documents, taken by the order of
     a hash of the id. Training samples only; every text is scanned whole."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.expr(f"regexp_extract_all({text_col}, '[A-Za-z]{{8,}}', 0)").alias("w"))
-    rows = rows.orderBy("h").limit(SAMPLE_DOCS).collect()
+    rows = hashed_sample(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col), id_col, SAMPLE_DOCS)
+    rows = rows.select(F.expr(f"regexp_extract_all({text_col}, '[A-Za-z]{{8,}}', 0)").alias("w")).collect()
     words = sorted({w for r in rows for w in r["w"]})
     random.Random(1).shuffle(words)
     return words[:SAMPLE_WORDS]

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import held_out, mix64, runs_of, slices, words_of
+from palimpsest.llm.common import hashed_sample, held_out, mix64, runs_of, slices, words_of
 from palimpsest.llm.gru import Adam, BiGRU, one_thread
 
 #: Most labelled documents per label that the network learns from, by the order of a hash of the id.
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     kept = None
     for y, most in ((1, TRAIN_POSITIVE), (0, TRAIN_NEGATIVE)):
-        part = labels.where(F.col("_y") == y).select("_id", "_y", F.xxhash64("_id").alias("_h")).orderBy("_h", "_id").limit(most)
+        part = hashed_sample(labels.where(F.col("_y") == y), "_id", most)
         kept = part if kept is None else kept.unionByName(part)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(kept), "_id")  # at most TRAIN_POSITIVE + TRAIN_NEGATIVE rows
     rows = sorted((r["_h"], r["_t"] or "", r["_y"]) for r in rows.collect())
