@@ -16,7 +16,7 @@ from palimpsest.llm.common import hashed_sample, held_out, mix64, runs_of, slice
 from palimpsest.llm.gru import Adam, BiGRU, one_thread
 
 #: Most labelled documents per label that the network learns from, by the order of a hash of the id.
-TRAIN_POSITIVE, TRAIN_NEGATIVE = 900, 1500
+TRAIN_POSITIVE, TRAIN_NEGATIVE = 900, 2400
 HIDDEN, EMBED = 12, 12
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 24
