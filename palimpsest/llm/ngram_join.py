@@ -5,9 +5,10 @@ most the sum over groups of the smaller count, and two leaves (bounding boxes of
 upper corners, so pairs of leaves, then of nodes within leaves, then of points that cannot reach the threshold are
 passed over; what survives is verified on the sets themselves.
 
-Which documents may meet at all is settled before, without loss: n-grams are ordered from rare to common by a merged
-count sketch, and two sets that reach the threshold share one of the first n - ceil(t * n) + 1 of each. Documents
-that share such an n-gram are linked into clusters, and an R-tree is built for each cluster. Its leaves hold a bounded
+Which documents may meet at all is settled before, without loss: n-grams are ordered from rare to common by the levels of a
+merged count-min sketch, and two sets that reach the threshold share one of the first n - ceil(t * n) + 1 of each; those
+of level 1 no other document has. Documents that share such an n-gram are linked into clusters, and an R-tree is built
+for each cluster. Its leaves hold a bounded
 number of points and bytes, and a task works on one pair of leaves, so a large cluster is spread. Equal sets are one point.
 """
 
@@ -22,13 +23,12 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import mix64, slices, staged, windows_of, words_of
 from palimpsest.llm.components import connected_components, forest
 from palimpsest.llm.exact_dedup import hit_filter
+from palimpsest.llm.repeat_sketch import PARTIAL, in_blocks, levels_of, merged_replies, partial_sketch, ranges_for
 
 #: Groups of the count vector; most points and bytes of a leaf, about; points of a node within a leaf.
 GROUPS, LEAF_POINTS, LEAF_BYTES, NODE = 64, 2048, 8 << 20, 16
-#: Counters of the sketch that orders n-grams, and of one of its parts.
-COUNTERS, PART = 1 << 20, 1 << 15
-#: N-grams whose counter exceeds this are dealt by a salt too, into this many parts.
-HOT, SALTS = 4096, 16
+#: N-grams of this level (the highest) are dealt by a salt too, into this many parts.
+HOT, SALTS = 255, 16
 
 
 def shingle_sets(column, n: int):
@@ -136,64 +136,56 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "do
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def first_pass(batches):
-        counts = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            size, digest = [], []
-            for _, s in shingle_sets(b.column(1), n):
-                size.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            nothing = pa.nulls(len(size))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(digest, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], ["doc_id", "n", "digest", "part", "counts"])
-        if counts.any():
-            parts = [pa.compress(counts[i : i + PART].astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) for i in range(0, COUNTERS, PART)]
-            none = pa.nulls(len(parts))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "digest", "part", "counts"])
-
-    def add_up(table: pa.Table) -> pa.Table:
-        total = np.zeros(PART, np.int64)
-        for c in table.column("counts").to_pylist():
-            planes = np.frombuffer(pa.decompress(c, decompressed_size=4 * PART, codec="zstd", asbytes=True), np.uint8)
-            total += np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32)[:, 0]
-        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
-
-    seen = staged(docs.mapInArrow(first_pass, "doc_id long, n int, digest binary, part int, counts binary"), "ngram-sets")
-    # COUNTERS counters, whatever the input
-    counts = np.zeros(COUNTERS, np.int64)
-    for part, total in seen.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add_up, "part int, counts binary").collect():
-        counts[part * PART : (part + 1) * PART] = np.frombuffer(bytes(total), np.int64)
-    order = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
-    rows = seen.where("part is null").select("doc_id", "n", "digest")
+    base, total = in_blocks(docs)
+    ranges = ranges_for(total // 6)
+
+    def sets_of(table: pa.Table) -> list[np.ndarray]:
+        column = table.column("text").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        return [s for _, s in shingle_sets(column, n)]
+
+    def sketch(table: pa.Table) -> pa.Table:
+        return partial_sketch(table.column("block")[0].as_py(), np.concatenate(sets_of(table)), ranges)
+
+    def prefixes(table: pa.Table, replies: pa.Table) -> pa.Table:
+        """A row for each document and, below, one for each n-gram of its prefix that others may have."""
+        names = ["doc_id", "n", "digest", "token", "salt"]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
+        if not len(table):
+            return pa.table([pa.array([], k) for k in kinds], names)
+        sets, ids = sets_of(table), table.column("doc_id").to_pylist()
+        levels = np.split(levels_of(np.concatenate(sets), replies, ranges), np.cumsum([len(s) for s in sets])[:-1])
+        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        known: set[bytes] = set()  # of equal sets in a block one is sent
+        tokens, who, salts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for i, (s, level) in enumerate(zip(sets, levels, strict=True)):
+            if ids[i] is None or not len(s) or digests[i] in known:
+                continue
+            known.add(digests[i])
+            size = len(s) + 1 - -(-percent * len(s) // 100)
+            pick = np.argsort(level, kind="stable")[:size]  # of equal levels the smaller hashes
+            pick = pick[level[pick] > 1]
+            tokens.append(s[pick])
+            who.append(np.full(len(pick), ids[i], np.int64))
+            salts.append(np.where(level[pick] >= HOT, 1 + int(mix64(np.array([ids[i]], np.int64).view(np.uint64))[0]) % SALTS, 0).astype(np.int32))
+        token = np.concatenate(tokens).view(np.int64)
+        m, none = len(ids), pa.nulls(len(token))
+        columns = [
+            (table.column("doc_id").combine_chunks(), np.concatenate(who)),
+            (pa.array([len(s) for s in sets], pa.int32()), none),
+            (pa.array(digests, pa.binary()), none),
+            (pa.nulls(m), token),
+            (pa.nulls(m), np.concatenate(salts)),
+        ]
+        return pa.table([pa.chunked_array([pa.array(x, k) if not isinstance(x, (pa.Array, pa.ChunkedArray)) else x.cast(k) for x in pair], k) for pair, k in zip(([a if not isinstance(a, pa.ChunkedArray) else a.combine_chunks(), b] for a, b in columns), kinds, strict=True)], names)
+
+    replies = merged_replies(base.groupBy("block").applyInArrow(sketch, PARTIAL))
+    seen = base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(prefixes, "doc_id long, n int, digest binary, token long, salt int")
+    seen = staged(seen, "ngram-sets")
+    rows = seen.where("n is not null").select("doc_id", "n", "digest")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     rows = staged(rows.join(classes, "digest", "left").select("doc_id", "n", "rep", "copies"), "ngram-rows")
 
-    def prefixes(batches):
-        known: set[bytes] = set()  # equal sets are sent once per task
-        for b in batches:
-            ids, tokens, who, salts = b.column(0).to_pylist(), [], [], []
-            for i, s in shingle_sets(b.column(1), n):
-                if ids[i] is None or not len(s):
-                    continue
-                key = hashlib.blake2b(s.tobytes(), digest_size=12).digest()
-                if key in known:
-                    continue
-                known.add(key)
-                often = order.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                size = len(s) + 1 - -(-percent * len(s) // 100)
-                if size < len(s):
-                    pick = np.argpartition(often, size - 1)[:size]
-                    limit = often[pick].max()
-                    below, level = np.flatnonzero(often < limit), np.flatnonzero(often == limit)
-                    pick = np.concatenate([below, level[: size - len(below)]])  # of equal counts the smaller hashes
-                else:
-                    pick = np.arange(len(s))
-                tokens.append(s[pick])
-                who.append(np.full(len(pick), ids[i]))
-                salts.append(np.where(often[pick] > HOT, 1 + mix64(np.array([ids[i]], np.int64).view(np.uint64))[0] % np.uint64(SALTS), 0))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(who).astype(np.int64))], ["token", "salt", "doc_id"])
-
     def meet(batches):
         """Rows sorted by n-gram, salt and id become links with the first document of each; of salted n-grams the first
         documents are passed on as well."""
@@ -215,7 +207,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "do
             yield pa.RecordBatch.from_arrays([token, pa.array(a.astype(np.int64)), pa.array(c.astype(np.int64))], ["token", "a", "b"])
 
     kind = "token long, a long, b long"
-    sent = docs.mapInArrow(prefixes, "token long, salt int, doc_id long")
+    sent = seen.where("token is not null").select("token", "salt", "doc_id")
     met = staged(sent.repartition("token", "salt").sortWithinPartitions("token", "salt", "doc_id").mapInArrow(meet, kind), "ngram-met")
     heads = met.where("token is not null").select("token", F.lit(0).alias("salt"), F.col("a").alias("doc_id"))
     joined = heads.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(meet, kind)

@@ -16,14 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BASES, mix64, slices, windows_of, words_of
+from palimpsest.llm.common import BASES, slices, windows_of, words_of
+from palimpsest.llm.repeat_sketch import BLOCK_BYTES, PARTIAL, RANGE_ITEMS, in_blocks, levels_of, merged_replies, partial_sketch, ranges_for
 
 #: Words of a window.
 WINDOW = 13
-#: Rows of the sketch; counters per range and row, and windows per range (so one slot in eight is in use).
-DEPTH, RANGE_SLOTS, RANGE_WINDOWS = 2, 1 << 24, 1 << 21
-#: Bytes of text of a block, about.
-BLOCK_BYTES = 8 << 20
 
 
 class Block:
@@ -54,12 +51,6 @@ class Block:
         if not use.all():  # documents without an id neither lose words nor make others lose some
             self.at, self.text, self.h = self.at[use], self.text[use], [x[use] for x in self.h]
 
-    def slots(self, ranges: int, once: np.ndarray):
-        """Per row of the sketch: (range and slot of the windows ``once``, as one number)."""
-        for row in range(DEPTH):
-            x = mix64(self.h[0][once] + np.uint64((row + 1) * 0xA24BAED4963EE407 % (1 << 64)))
-            yield row, ((x >> np.uint64(32)) % np.uint64(ranges)) << np.uint64(24) | (x & np.uint64(RANGE_SLOTS - 1))
-
     def once_per_document(self) -> np.ndarray:
         order = np.argsort(self.h[0], kind="stable")
         h, t = self.h[0][order], self.text[order]
@@ -82,22 +73,7 @@ class Block:
         return order, np.flatnonzero(first)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted numbers as compressed byte planes of their gaps."""
-    import pyarrow as pa
-
-    gaps = np.diff(values.astype(np.uint32), prepend=np.uint32(0)).astype(np.uint32)
-    return pa.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    import pyarrow as pa
-
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32)[:, 0], dtype=np.uint32)
-
-
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_windows: int = RANGE_WINDOWS) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_windows: int = RANGE_ITEMS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text per row.
 
     Words are runs of characters outside ASCII white space. Each word is removed that a window covers whose words also
@@ -108,52 +84,20 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
     import pyarrow as pa
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    ranges = max(1, -(-total // (6 * range_windows)))
-    parts = max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # so that no consumer deals it anew
-    base = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(parts, "block")
+    base, total = in_blocks(docs, block_bytes)
+    ranges = ranges_for(total // 6, range_windows)
 
     def sketch(table: pa.Table) -> pa.Table:
         b = Block(table, window, 1)
-        once, out = b.once_per_document(), []
-        for row, keys in b.slots(ranges, once):
-            keys, counts = np.unique(keys, return_counts=True)
-            cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(24))
-            for r in range(ranges):
-                k = keys[cuts[r] : cuts[r + 1]] & np.uint64(RANGE_SLOTS - 1)
-                if len(k):
-                    out.append((row, r, table.column("block")[0].as_py(), len(k), _pack(k), np.packbits(counts[cuts[r] : cuts[r + 1]] > 1).tobytes()))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["row", "range", "block", "n", "slots", "twice"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "n", "slots", "twice")), strict=True))
-        counters = np.zeros(RANGE_SLOTS, np.uint8)
-        for _, n, packed, twice in rows:
-            at = _unpack(packed, n)
-            counters[at] = np.minimum(counters[at] + 1 + np.unpackbits(np.frombuffer(twice, np.uint8), count=n), 2)
-        bits = [np.packbits(counters[_unpack(p, n)] > 1).tobytes() for _, n, p, _ in rows]
-        return pa.table([table.column("row"), table.column("range"), table.column("block"), table.column("n"), pa.array(bits, pa.binary())], ["row", "range", "block", "n", "repeated"])
+        return partial_sketch(table.column("block")[0].as_py(), b.h[0][b.once_per_document()], ranges)
 
     def pick(table: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["h1", "h2", "doc_id", "block"]
         b = Block(table, window, 2) if len(table) else None
         if b is None or not len(b.at):
             return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.int32())], names)
-        told = {(row, r): (n, bits) for row, r, n, bits in zip(*(replies.column(c).to_pylist() for c in ("row", "range", "n", "repeated")), strict=True)}
         once = b.once_per_document()
-        keep = np.ones(len(once), bool)
-        for row, keys in b.slots(ranges, once):
-            mine, back = np.unique(keys, return_inverse=True)
-            cuts = np.searchsorted(mine, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(24))
-            bits = np.zeros(len(mine), bool)
-            for r in np.flatnonzero(np.diff(cuts)):
-                n, packed = told[row, int(r)]
-                assert n == cuts[r + 1] - cuts[r], "a block read other rows the second time"
-                bits[cuts[r] : cuts[r + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n)
-            keep &= bits[back]
-        once = once[keep]
+        once = once[levels_of(b.h[0][once], replies, ranges) > 1]
         ids = b.ids[b.text[once]]
         order = np.lexsort((ids, b.h[1][once], b.h[0][once]))  # of a window's documents here, the smallest
         once, ids = once[order], ids[order]
@@ -211,8 +155,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
             kept.append(b" ".join(words).decode())
         return pa.table([table.column("doc_id"), pa.array(b.n_words), pa.array(n_removed), pa.array(kept, pa.string())], names)
 
-    partial = base.groupBy("block").applyInArrow(sketch, "row int, range int, block int, n int, slots binary, twice binary")
-    replies = partial.groupBy("row", "range").applyInArrow(merge, "row int, range int, block int, n int, repeated binary")
+    replies = merged_replies(base.groupBy("block").applyInArrow(sketch, PARTIAL))
     seen = base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(pick, "h1 long, h2 long, doc_id long, block int")
     told = seen.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(larger, seen.schema)
     return base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(strip, "doc_id long, n_words long, n_removed long, kept_text string")
