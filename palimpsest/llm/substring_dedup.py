@@ -5,7 +5,7 @@
 2. The partial sketches of a range are merged by addition. Each block learns, one bit per slot of its own, which slots
    reached two: an estimate is never below the true count, so no repeated window is lost. What travels is about a byte
    per window; nothing is broadcast.
-3. Each block sends only the windows whose least estimate over all rows of the sketch is two or more, as 128-bit
+3. Each block sends only the windows whose least estimate over all rows of the sketch is two or more, as 96-bit
    hashes, and of a window's documents within the block only the smallest. They are grouped exactly; the block is told
    which of them start in a smaller document elsewhere. Larger documents of the same block need no message.
 """
@@ -95,17 +95,16 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
         names = ["h1", "h2", "doc_id", "block"]
         b = Block(table, window, 2) if len(table) else None
         if b is None or not len(b.at):
-            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.int32())], names)
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32())], names)
         once = b.once_per_document()
         once = once[levels_of(b.h[0][once], replies, ranges) > 1]
-        ids = b.ids[b.text[once]]
-        order = np.lexsort((ids, b.h[1][once], b.h[0][once]))  # of a window's documents here, the smallest
-        once, ids = once[order], ids[order]
-        x, y = b.h[0][once], b.h[1][once]
-        first = np.ones(len(once), bool)
+        ids, x, y = b.ids[b.text[once]], b.h[0][once], b.h[1][once].astype(np.uint32).view(np.int32)
+        order = np.lexsort((ids, y, x))  # of a window's documents here, the smallest
+        ids, x, y = ids[order], x[order], y[order]
+        first = np.ones(len(order), bool)
         first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         block = np.full(int(first.sum()), table.column("block")[0].as_py(), np.int32)
-        return pa.table([pa.array(x[first].view(np.int64)), pa.array(y[first].view(np.int64)), pa.array(ids[first]), pa.array(block)], names)
+        return pa.table([pa.array(x[first].view(np.int64)), pa.array(y[first]), pa.array(ids[first]), pa.array(block)], names)
 
     def larger(batches):
         """Of rows sorted by window and id: those whose window came with a smaller id."""
@@ -120,7 +119,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
             start = np.flatnonzero(fresh)
             low = np.concatenate([[lowest], ids[start]])[np.cumsum(fresh)]
             last, lowest = (h1[-1], h2[-1]), low[-1]
-            yield b.filter(pa.array(ids > low))
+            yield b.select(["h1", "doc_id", "block"]).filter(pa.array(ids > low))
 
     def strip(table: pa.Table, told: pa.Table) -> pa.Table:
         names = ["doc_id", "n_words", "n_removed", "kept_text"]
@@ -133,10 +132,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
             ids = b.ids[b.text[order]]
             hit[order] = ids > np.repeat(ids[first], np.diff(np.append(first, len(order))))
         if len(told):
-            h1, h2, ids = (told.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
-            messages = set(zip(h1.tolist(), h2.tolist(), ids.tolist(), strict=True))
+            h1, ids = (told.column(c).to_numpy() for c in ("h1", "doc_id"))
+            messages = set(zip(h1.tolist(), ids.tolist(), strict=True))
             maybe = np.flatnonzero(np.isin(b.h[0].view(np.int64), h1))
-            keys = zip(b.h[0][maybe].view(np.int64).tolist(), b.h[1][maybe].view(np.int64).tolist(), b.ids[b.text[maybe]].tolist(), strict=True)
+            keys = zip(b.h[0][maybe].view(np.int64).tolist(), b.ids[b.text[maybe]].tolist(), strict=True)
             # what the smallest document of the block is told holds for no other: those exceed it
             hit[maybe] |= np.fromiter((k in messages for k in keys), bool, len(maybe))
         cover = np.zeros(int(b.n_words.sum()) + 1, np.int32)
@@ -156,6 +155,6 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
         return pa.table([table.column("doc_id"), pa.array(b.n_words), pa.array(n_removed), pa.array(kept, pa.string())], names)
 
     replies = merged_replies(base.groupBy("block").applyInArrow(sketch, PARTIAL))
-    seen = base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(pick, "h1 long, h2 long, doc_id long, block int")
-    told = seen.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(larger, seen.schema)
+    seen = base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(pick, "h1 long, h2 int, doc_id long, block int")
+    told = seen.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(larger, "h1 long, doc_id long, block int")
     return base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(strip, "doc_id long, n_words long, n_removed long, kept_text string")
