@@ -184,7 +184,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "do
     seen = staged(seen, "ngram-sets")
     rows = seen.where("n is not null").select("doc_id", "n", "digest")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    rows = staged(rows.join(classes, "digest", "left").select("doc_id", "n", "rep", "copies"), "ngram-rows")
+    known = F.col("doc_id").isNotNull()
+    rows = staged(rows.join(classes, "digest", "left").select("doc_id", "n", F.when(known, F.col("rep")).alias("rep"), F.when(known, F.col("copies")).alias("copies")), "ngram-rows")
 
     def meet(batches):
         """Rows sorted by n-gram, salt and id become links with the first document of each; of salted n-grams the first

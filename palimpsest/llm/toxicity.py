@@ -206,7 +206,10 @@ def score_toxicity(docs: DataFrame, model: WindowScorer, id_col: str = "doc_id",
 
     def run(batches):
         for b in batches:
-            scores = [1 / (1 + np.exp(-np.clip(model.logits(data, ends), -700, 700))) if len(data) else np.zeros(len(ends)) for _, _, data, ends in slices(b.column(1))]
+            scores = []
+            for _, _, data, ends in slices(b.column(1)):
+                logits = model.logits(data, ends) if len(data) else np.full(len(ends), -np.inf)
+                scores.append(np.where(np.isfinite(logits), 1 / (1 + np.exp(-np.clip(logits, -700, 700))), 0.0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([*scores, np.zeros(0)]))], ["doc_id", "score"])
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
