@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rates above this are drawn as a sum of equal parts, so exp(-rate) stays far from underflow.
 PART_RATE = 32.0
+#: Up to so many sources the table of their rates is broadcast (a few kB each); beyond, rows are dealt by source.
+BROADCAST_SOURCES = 5000
 
 
 def hashed(seed: int, *parts: Column) -> Column:
@@ -53,6 +55,9 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     plan = counts.withColumn("_rate", rate).withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART_RATE)).cast("int"))
     plan = plan.select("_src", "_rate", "_parts", poisson_cdf(F.col("_rate") / F.col("_parts")).alias("_cdf")).where("_rate > 0")
 
+    if counts.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+
     def draw(acc: Column, j: Column) -> Column:
         u = (hashed(seed, F.col(id_col), j) + F.lit(0.5)) / F.lit(float(1 << 48))
         return acc + F.size(F.filter(F.col("_cdf"), lambda c: c < u))
