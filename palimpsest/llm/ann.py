@@ -195,6 +195,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
         return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float32), strict=True)], ["query_id", "id", "adc"])
 
+    # a cell takes far more work than its bytes show, so cells are not gathered into fewer partitions
+    n_cells = int((first + count).max())
+    asked, posted = asked.repartition(n_cells, "cell"), posted.repartition(n_cells, "cell")
     near = asked.groupBy("cell").cogroup(posted.groupBy("cell")).applyInArrow(scan, "query_id long, id long, adc float")
     order = lambda *c: F.row_number().over(W.partitionBy("query_id").orderBy(*c))
     near = near.withColumn("r", order("adc", "id")).where(F.col("r") <= rerank).select("query_id", "id")
