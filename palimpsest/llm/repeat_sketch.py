@@ -27,7 +27,7 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFram
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     parts = max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # so that no consumer deals it anew
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(parts, "block"), total
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(parts, "block"), total
 
 
 def ranges_for(items: int, range_items: int = RANGE_ITEMS) -> int:
