@@ -58,11 +58,6 @@ def hybrid_score(cosine: Column, lexical: Column, heading: Column, page: Column,
     )
 
 
-def heading_weight(kind_a: Column, kind_b: Column) -> Column:
-    """The heading bonus reported is 0.08 of the similarity whatever the kinds."""
-    return F.lit(0.08)
-
-
 def change_type(score: Column, unchanged: float) -> Column:
     return F.when(score >= unchanged, F.lit("unchanged")).otherwise(F.lit("modified"))
 
