@@ -54,8 +54,9 @@ def is_upper(text: Column) -> Column:
     return text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{Ll}\p{Lt}]")
 
 
-def heading_like(text: Column) -> Column:
-    t = normalize_text(text)
+def heading_like(text: Column, normal: bool = False) -> Column:
+    """``normal``: the text is normalised already; doing it again would only make the expression larger."""
+    t = text if normal else normalize_text(text)
     w = words(t)
     titled = F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}")))
     return (
@@ -69,8 +70,8 @@ def heading_like(text: Column) -> Column:
     )
 
 
-def is_heading(text: Column, font: Column, bold: Column, median: Column) -> Column:
-    t = normalize_text(text)
+def is_heading(text: Column, font: Column, bold: Column, median: Column, normal: bool = False) -> Column:
+    t = text if normal else normalize_text(text)
     n = F.size(words(t))
     return (
         (t != "")
@@ -81,36 +82,36 @@ def is_heading(text: Column, font: Column, bold: Column, median: Column) -> Colu
             | (is_upper(t) & (n <= UPPER_WORDS))
             | (bold & (font >= median * BOLD_RATIO) & (n <= LARGE_WORDS))
             | ((font >= median * LARGE_RATIO) & (n <= LARGE_WORDS))
-            | (heading_like(t) & (font >= median * LIKE_RATIO))
+            | (heading_like(t, True) & (font >= median * LIKE_RATIO))
         )
     )
 
 
-def is_bullet(text: Column) -> Column:
-    return normalize_text(text).rlike(BULLET)
+def is_bullet(text: Column, normal: bool = False) -> Column:
+    return (text if normal else normalize_text(text)).rlike(BULLET)
 
 
-def numbered_path(text: Column) -> Column:
+def numbered_path(text: Column, normal: bool = False) -> Column:
     """Path of a numbered heading, else null."""
-    t = normalize_text(text)
+    t = text if normal else normalize_text(text)
     number = F.regexp_replace(F.regexp_extract(t, NUMBERED, 1), r"[.)]+$", "")
     return F.when(t.rlike(NUMBERED), F.filter(F.split(number, r"\."), lambda x: x != ""))
 
 
-def slug(text: Column) -> Column:
-    s = F.regexp_replace(F.lower(normalize_text(text)), r"[^a-z0-9.\- ]+", "")
+def slug(text: Column, normal: bool = False) -> Column:
+    s = F.regexp_replace(F.lower(text if normal else normalize_text(text)), r"[^a-z0-9.\- ]+", "")
     s = F.regexp_replace(F.regexp_replace(s, r"\s+", "-"), "^-+|-+$", "")
     return F.when(s == "", F.lit("section")).otherwise(s)
 
 
-def short_title(text: Column) -> Column:
-    t = F.regexp_replace(normalize_text(text), r"\s+", " ")
+def short_title(text: Column, normal: bool = False) -> Column:
+    t = F.regexp_replace(text if normal else normalize_text(text), r"\s+", " ")
     return F.when(F.length(t) > TITLE_CHARS, F.regexp_replace(F.substring(t, 1, TITLE_CHARS), f"{BLANK}+$", "")).otherwise(t)
 
 
-def split_paragraphs(text: Column) -> Column:
+def split_paragraphs(text: Column, normal: bool = False) -> Column:
     """Paragraphs between blank lines; the whole text if there are none."""
-    t = normalize_text(text)
+    t = text if normal else normalize_text(text)
     parts = F.filter(F.transform(F.split(t, r"\n\s*\n"), strip), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts).when(t != "", F.array(t)).otherwise(F.array().cast("array<string>"))
 

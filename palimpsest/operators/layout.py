@@ -41,7 +41,7 @@ def merge_blocks(blocks: DataFrame, medians: DataFrame) -> DataFrame:
 
     Columns as blocks; block_pos numbers the merged blocks of a page."""
     b = blocks.join(medians, SIDE).withColumn("t", normalize_text(F.col("text"))).where("t <> ''")
-    b = b.withColumn("alone", is_heading(F.col("t"), F.col("font_size"), F.col("is_bold"), F.col("median")) | is_bullet(F.col("t")))
+    b = b.withColumn("alone", is_heading(F.col("t"), F.col("font_size"), F.col("is_bold"), F.col("median"), True) | is_bullet(F.col("t"), True))
     page = W.partitionBy(*SIDE, "page").orderBy(F.coalesce("y0", F.lit(0.0)), F.coalesce("x0", F.lit(0.0)), "block_pos")
     apart = (F.abs(F.lag("x0").over(page) - F.col("x0")) > INDENT) | (F.col("y0") - F.lag("y1").over(page) > GAP)
     opens = F.col("alone") | F.coalesce(F.lag("alone").over(page), F.lit(True)) | F.coalesce(apart, F.lit(False))

@@ -18,21 +18,21 @@ NODE_COLUMNS = [*SIDE, "node_id", "page", "kind", "path", "text", "parent_id", "
 def classify(blocks: DataFrame) -> DataFrame:
     """Merged blocks with text t, whether each is a heading, and its place ``pos`` in reading order."""
     b = blocks.withColumn("t", T.normalize_text(F.col("text"))).where("t <> ''")
-    b = b.withColumn("heading", T.is_heading(F.col("t"), F.col("font_size"), F.col("is_bold"), F.col("median")))
+    b = b.withColumn("heading", T.is_heading(F.col("t"), F.col("font_size"), F.col("is_bold"), F.col("median"), True))
     return b.withColumn("pos", F.row_number().over(W.partitionBy(*SIDE).orderBy("page", "block_pos")))
 
 
 def heading_paths(classified: DataFrame) -> DataFrame:
     """Adds ``path``: that of the last numbered heading so far, before any that of the first heading, else empty."""
     so_far = W.partitionBy(*SIDE).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    numbered = F.when(F.col("heading"), T.numbered_path(F.col("t")))
-    named = F.when(F.col("heading"), F.array(T.slug(F.col("t"))))
+    numbered = F.when(F.col("heading"), T.numbered_path(F.col("t"), True))
+    named = F.when(F.col("heading"), F.array(T.slug(F.col("t"), True)))
     return classified.withColumn("path", F.coalesce(F.last(numbered, True).over(so_far), F.first(named, True).over(so_far), F.array().cast("array<string>")))
 
 
 def chunks(pathed: DataFrame, cap: int = 220) -> DataFrame:
     """Body text grouped greedily: (side, page, pos of the first part, chunk, kind, path, text, box)."""
-    parts = pathed.where("not heading").select("*", F.posexplode(T.split_paragraphs(F.col("t"))).alias("part", "ptext"))
+    parts = pathed.where("not heading").select("*", F.posexplode(T.split_paragraphs(F.col("t"), True)).alias("part", "ptext"))
     parts = parts.withColumn("tokens", T.token_count(F.col("ptext"))).withColumn("bullet", F.col("ptext").rlike(T.BULLET))
     page = W.partitionBy(*SIDE, "page").orderBy("pos", "part")
     before = F.lag("ptext").over(page)
@@ -41,7 +41,7 @@ def chunks(pathed: DataFrame, cap: int = 220) -> DataFrame:
         before.isNull()
         | (F.col("pos") - F.lag("pos").over(page) > 1)
         | F.col("bullet")
-        | T.heading_like(F.col("ptext"))
+        | T.heading_like(F.col("ptext"), True)
         | (before.rlike(r"[.!?;:]$") & F.col("ptext").rlike(r"^\p{Lu}"))
     )
     parts = parts.withColumn("run", F.sum(broken.cast("int")).over(page))
@@ -66,7 +66,7 @@ def build_nodes(blocks: DataFrame, pages: DataFrame, cap: int = 220) -> DataFram
     Documents without blocks have a document node and page nodes only. Blocks of white space are left out."""
     kept = drop_repeated_headers(blocks, pages)
     pathed = heading_paths(classify(merge_blocks(kept, median_font(kept))))
-    heads = pathed.where("heading").select(*SIDE, "page", "pos", F.lit(0).alias("part"), F.lit("section").alias("kind"), "path", "t", T.short_title(F.col("t")).alias("text"), "x0", "y0", "x1", "y1")
+    heads = pathed.where("heading").select(*SIDE, "page", "pos", F.lit(0).alias("part"), F.lit("section").alias("kind"), "path", "t", T.short_title(F.col("t"), True).alias("text"), "x0", "y0", "x1", "y1")
     body = chunks(pathed, cap).withColumn("t", F.col("text")).select(*heads.columns)
     leaves = heads.unionByName(body)
     section = F.col("kind") == "section"
