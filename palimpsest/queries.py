@@ -41,8 +41,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
-def document_blocks(spark: SparkSession, sf_dir: str, pitch: bool = False) -> DataFrame:
-    return adapters.document_blocks(table(spark, sf_dir, "documents"), pitch)
+#: The pairs that the SQL over document blocks is written for: a part of the documents (see WHOLE for all of them).
+SMALL = adapters.small_group_pairs
+
+
+def document_blocks(spark: SparkSession, sf_dir: str, pitch: bool = False, pairs=adapters.document_pairs) -> DataFrame:
+    return adapters.document_blocks(table(spark, sf_dir, "documents"), pitch, pairs)
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +62,8 @@ def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(page_blocks(spark, sf_dir))
 
 
-def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(document_blocks(spark, sf_dir))
+def document_nodes(spark: SparkSession, sf_dir: str, pairs=adapters.document_pairs) -> DataFrame:
+    return _nodes(document_blocks(spark, sf_dir, pairs=pairs))
 
 
 def joined(c: str, sep: str = "|"):
@@ -107,8 +111,8 @@ BLOCK = "pair_id, doc_side, page, block_pos, text, y0"
 
 
 @query("scan_blocks", f"with {O.fa_blocks()} select {BLOCK} from blocks")
-def scan_blocks(s, d):
-    return document_blocks(s, d).select(*BLOCK.split(", "))
+def scan_blocks(s, d, pairs=SMALL):
+    return document_blocks(s, d, pairs=pairs).select(*BLOCK.split(", "))
 
 
 @query("scan_page_blocks", f"with {O.FB_BLOCKS} select {BLOCK}, font_size, is_bold from blocks")
@@ -117,8 +121,8 @@ def scan_page_blocks(s, d):
 
 
 @query("dedupe_headers", f"{O.layout(O.fa_blocks())} select pair_id, doc_side, page, block_pos from kept")
-def dedupe_headers(s, d):
-    b = staged(document_blocks(s, d), "blocks")
+def dedupe_headers(s, d, pairs=SMALL):
+    b = staged(document_blocks(s, d, pairs=pairs), "blocks")
     return layout.drop_repeated_headers(b, adapters.page_counts(b)).select(*SIDE, "page", "block_pos")
 
 
@@ -129,15 +133,15 @@ def median_font(s, d):
 
 
 @query("merge_blocks", f"{O.layout(O.fa_blocks(True))} select pair_id, doc_side, page, block_pos, text, x0, y0, x1, y1 from merged where text <> ''")
-def merge_blocks(s, d):
-    b = staged(document_blocks(s, d, True), "blocks")
+def merge_blocks(s, d, pairs=SMALL):
+    b = staged(document_blocks(s, d, True, pairs), "blocks")
     kept = layout.drop_repeated_headers(b, adapters.page_counts(b))
     return layout.merge_blocks(kept, layout.median_font(kept)).select(*SIDE, "page", "block_pos", "text", "x0", "y0", "x1", "y1")
 
 
 @query("bbox_union", f"with {O.fa_blocks(True)} select pair_id, doc_side, page, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from blocks group by all")
-def bbox_union(s, d):
-    return layout.union_boxes(document_blocks(s, d, True), *SIDE, "page")
+def bbox_union(s, d, pairs=SMALL):
+    return layout.union_boxes(document_blocks(s, d, True, pairs), *SIDE, "page")
 
 
 def _pathed(blocks: DataFrame) -> DataFrame:
@@ -152,8 +156,8 @@ def heading_path(s, d):
 
 
 @query("chunks", f"{O.layout(O.fa_blocks())},{O.NODES} select pair_id, doc_side, page, pos, part, kind, text, part_tokens, n_parts from chunks")
-def chunks(s, d):
-    return tree.chunks(_pathed(document_blocks(s, d))).select(*SIDE, "page", "pos", "part", "kind", "text", "part_tokens", "n_parts")
+def chunks(s, d, pairs=SMALL):
+    return tree.chunks(_pathed(document_blocks(s, d, pairs=pairs))).select(*SIDE, "page", "pos", "part", "kind", "text", "part_tokens", "n_parts")
 
 
 # -- trees
@@ -168,8 +172,8 @@ def build_nodes(s, d):
 
 
 @query("build_nodes_documents", f"{FA} select {NODE}, array_to_string(path, '.') as path from nodes")
-def build_nodes_documents(s, d):
-    return document_nodes(s, d).select(*NODE.split(", "), joined("path", "."))
+def build_nodes_documents(s, d, pairs=SMALL):
+    return document_nodes(s, d, pairs).select(*NODE.split(", "), joined("path", "."))
 
 
 @query("tree_roundtrip", f"{FB} select {NODE}, array_to_string(path, '.') as path from nodes")
@@ -273,8 +277,8 @@ def trace_node(s, d):
 
 
 @query("hash_embed", f"{O.pairs(O.fa_blocks())} select {KEY}, bucket, round(w, 6) as w from vec")
-def hash_embed(s, d):
-    n = tree.leaves(document_nodes(s, d))
+def hash_embed(s, d, pairs=SMALL):
+    n = tree.leaves(document_nodes(s, d, pairs))
     return vectors.hash_vectors(n, [*SIDE, "node_id"]).select(*SIDE, "node_id", "bucket", F.round("w", 6).alias("w"))
 
 
@@ -319,17 +323,17 @@ def embed_plan(s, d):
 PAIR, PAIRS = ["pair_id", "legacy_id", "modern_id"], O.pairs(O.fa_blocks())
 
 
-def leaf_pairs(s, d, nodes: DataFrame | None = None) -> DataFrame:
-    return align.candidate_pairs(*align.sides(document_nodes(s, d) if nodes is None else nodes), ["pair_id"])
+def leaf_pairs(nodes: DataFrame) -> DataFrame:
+    return align.candidate_pairs(*align.sides(nodes), ["pair_id"])
 
 
 for _name, _column in (("heading_pairs", "heading"), ("kind_pairs", "kind_bonus"), ("token_balance", "size_bonus"), ("page_bonus", "page_bonus")):
-    query(_name, f"{PAIRS} select pair_id, legacy_id, modern_id, round({_column}, 9) as value from pairs")(lambda s, d, c=_column: leaf_pairs(s, d).select(*PAIR, F.round(c, 9).alias("value")))
+    query(_name, f"{PAIRS} select pair_id, legacy_id, modern_id, round({_column}, 9) as value from pairs")(lambda s, d, pairs=SMALL, c=_column: leaf_pairs(document_nodes(s, d, pairs)).select(*PAIR, F.round(c, 9).alias("value")))
 
 
 @query("candidate_pairs", f"{PAIRS} select pair_id, legacy_id, modern_id from pairs")
-def candidate_pairs(s, d):
-    return leaf_pairs(s, d).select(*PAIR)
+def candidate_pairs(s, d, pairs=SMALL):
+    return leaf_pairs(document_nodes(s, d, pairs)).select(*PAIR)
 
 
 def _cosines(nodes: DataFrame) -> DataFrame:
@@ -338,14 +342,14 @@ def _cosines(nodes: DataFrame) -> DataFrame:
 
 
 @query("cosine_pairs", f"{PAIRS} select pair_id, legacy_id, modern_id, round(cos, 6) as cos from cos")
-def cosine_pairs(s, d):
-    return _cosines(document_nodes(s, d)).withColumn("cos", F.round("cos", 6))
+def cosine_pairs(s, d, pairs=SMALL):
+    return _cosines(document_nodes(s, d, pairs)).withColumn("cos", F.round("cos", 6))
 
 
 @query("hybrid_score", f"{PAIRS} select pair_id, legacy_id, modern_id, round({O.RAW}, 6) as raw, round(greatest(0.0, least(1.0, {O.RAW})), 6) as candidate from pairs")
-def hybrid_score(s, d):
-    nodes = document_nodes(s, d)
-    p = leaf_pairs(s, d, nodes).join(_cosines(nodes), PAIR, "left")
+def hybrid_score(s, d, pairs=SMALL):
+    nodes = document_nodes(s, d, pairs)
+    p = leaf_pairs(nodes).join(_cosines(nodes), PAIR, "left")
     raw = S.hybrid_score(F.coalesce("cos", F.lit(0.0)), F.lit(0.0), F.col("heading"), F.col("page_bonus"), F.col("legacy_kind"), F.col("modern_kind"), F.col("size_bonus"))
     return p.select(*PAIR, F.round(raw, 6).alias("raw"), F.round(S.clip01(raw), 6).alias("candidate"))
 
@@ -369,6 +373,14 @@ def score_pairs(s, d):
     return p.where(F.col("candidate") >= Params().min_similarity).select(*PAIR, F.round("lex", 6).alias("lex"), F.round("candidate", 6).alias("candidate"))
 
 
+# -- the queries above over all documents: their SQL covers SMALL only, so the whole has names of its own and no SQL
+
+WHOLE = {name: adapters.single_documents for name in ("scan_blocks", "dedupe_headers", "merge_blocks", "bbox_union", "chunks", "build_nodes_documents", "hash_embed")}
+WHOLE |= {name: adapters.document_pairs for name in ("heading_pairs", "kind_pairs", "token_balance", "page_bonus", "candidate_pairs", "cosine_pairs")}
+for _name, _pairs in WHOLE.items():
+    query(f"{_name}_all")(lambda s, d, f=QUERIES[_name], pairs=_pairs: f(s, d, pairs))
+
+
 # -- alignment
 
 MATCH = [*PAIR, "change_type"]

@@ -5,19 +5,62 @@ A blocks table has pair_id, doc_side ('legacy' or 'modern'), page, block_pos, te
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from palimpsest.functions.text import normalize_text
+from palimpsest.plans.staging import staged
 
 BLOCKS = "pair_id string, doc_side string, page int, block_pos int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, is_bold boolean"
 LINES_PER_PAGE = 4
 
 
+def named_documents(documents: DataFrame) -> DataFrame:
+    """(name, doc_id, lines) of every document that has a text. A name is the id as text; rows without an id are named by
+    their text, and further rows of one name get a number."""
+    d = documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    base = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), "digest"))
+    d = d.withColumn("base", base).withColumn("copy", F.row_number().over(W.partitionBy("base").orderBy("digest")))
+    name = F.when(F.col("copy") == 1, F.col("base")).otherwise(F.concat_ws("#", "base", F.col("copy").cast("string")))
+    return d.select(name.alias("name"), "doc_id", F.split("text", "\n").alias("lines"))
+
+
+def predecessors(named: DataFrame) -> DataFrame:
+    """(before, name): documents of one first line in the order of their ids, each with the one before it.
+
+    Rows are dealt by ranges of (first line, id), so a group of any size spreads over tasks; only the last row of a range
+    is handed to the next."""
+    order = ["key", "doc_id", "name"]
+    d = named.select(F.sha2(F.element_at("lines", 1), 256).alias("key"), "doc_id", "name")
+    d = staged(d.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "first-lines")
+    ends = d.groupBy("part").agg(F.max(F.struct(*order)).alias("end"))  # one row per range
+    ends = ends.select("part", F.lag("end").over(W.orderBy("part")).alias("end"))
+    within = F.lag(F.struct(*order)).over(W.partitionBy("part").orderBy(*order))
+    d = d.withColumn("last", within).join(F.broadcast(ends), "part").withColumn("last", F.coalesce("last", "end"))
+    return d.where(F.col("last.key") == F.col("key")).select(F.col("last.name").alias("before"), "name")
+
+
 def document_pairs(documents: DataFrame) -> DataFrame:
-    """(pair_id, doc_side, doc_id, lines) of documents of three lines or more that share their first line with one to
-    three others: the smallest id is the legacy side, the next the modern one."""
+    """(pair_id, doc_side, doc_id, lines): every document that shares its first line with one of a smaller id is the
+    modern side of a pair, the one next before it the legacy side, whose name is the pair's id."""
+    named = named_documents(documents)
+    links = staged(predecessors(named), "document-links")
+    legacy, modern = links.select(F.col("before").alias("name"), F.col("before").alias("pair_id")), links.select("name", F.col("before").alias("pair_id"))
+    out = [named.join(x, "name").select("pair_id", F.lit(side).alias("doc_side"), "doc_id", "lines") for side, x in (("legacy", legacy), ("modern", modern))]
+    return out[0].unionByName(out[1])
+
+
+def single_documents(documents: DataFrame) -> DataFrame:
+    """(pair_id, doc_side, doc_id, lines): every document by itself, as the legacy side of a pair of its name."""
+    return named_documents(documents).select(F.col("name").alias("pair_id"), F.lit("legacy").alias("doc_side"), "doc_id", "lines")
+
+
+def small_group_pairs(documents: DataFrame) -> DataFrame:
+    """The part of document_pairs() that the DuckDB equivalents are written for, not the whole: documents of three lines
+    or more that share their first line with one to three others, and of those the two smallest ids."""
     d = documents.select("doc_id", F.split("text", "\n").alias("lines")).where(F.size("lines") >= 3).withColumn("key", F.element_at("lines", 1))
     w = W.partitionBy("key")
     few = d.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n between 2 and 4").select("key", "first")
@@ -25,9 +68,9 @@ def document_pairs(documents: DataFrame) -> DataFrame:
     return d.select(F.col("first").cast("string").alias("pair_id"), F.when(F.col("r") == 1, "legacy").otherwise("modern").alias("doc_side"), "doc_id", "lines")
 
 
-def document_blocks(documents: DataFrame, pitch: bool = False) -> DataFrame:
-    """One block per line of document_pairs(). ``pitch``: lines whose number is no multiple of 3 follow closely."""
-    lines = document_pairs(documents).select("pair_id", "doc_side", F.posexplode("lines").alias("line", "text"))
+def document_blocks(documents: DataFrame, pitch: bool = False, pairs: Callable[[DataFrame], DataFrame] = document_pairs) -> DataFrame:
+    """One block per line of ``pairs`` of the documents. ``pitch``: lines whose number is no multiple of 3 follow closely."""
+    lines = pairs(documents).select("pair_id", "doc_side", F.posexplode("lines").alias("line", "text"))
     at = F.col("line") % LINES_PER_PAGE
     y0 = (at * 40 - F.when(F.col("line") % 3 != 0, 26).otherwise(0) if pitch else at * 40).cast("double")
     return lines.select(
