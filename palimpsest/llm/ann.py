@@ -1,8 +1,10 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and codebooks are fitted on a bounded sample; every row is indexed. A query looks into the lists of its nearest
-centroids, ranks their rows by asymmetric distances from tables, and the best are ranked again by exact distances of the
-original vectors. How many lists that takes is measured on the sample. Lists are packed into cells of a bounded number of
+centroids and takes asymmetric distances of their rows from tables. A row's asymmetric distance is off by at most the error
+of its code (the distance of the vector from its reconstruction), so a row whose asymmetric distance less that error is beyond
+the k-th distance found so far can't be among the k nearest; all others are ranked by exact distances of the original vectors,
+however many they are. So the lists alone decide the recall, and how many that takes is measured on the sample. Lists are packed into cells of a bounded number of
 rows, neighbouring lists together and long ones split, and a task works on one cell at a time.
 """
 
@@ -20,8 +22,10 @@ from palimpsest.llm.gru import one_thread
 
 #: Most vectors that centroids and codebooks are fitted on, by the order of a hash of the id.
 SAMPLE = 20_000
-#: Most lists; rows per query and cell ranked by exact distance; rows of a cell, about.
-MAX_LISTS, RERANK, CELL = 1024, 150, 16384
+#: Most lists; rows of a cell, about.
+MAX_LISTS, CELL = 1024, 16384
+#: Allowance for single precision in tables and sums, as a share of the distances and errors compared.
+SLACK = 1e-3
 #: Share of the true neighbours, within the sample, that the searched lists must hold; sample queries for that.
 TARGET, TRIALS = 0.97, 200
 PARTS, CODES = 16, 256
@@ -89,12 +93,13 @@ class IvfPq:
                 cell, filled = cell + int(count[i]), 0
         return first, count
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(list of each row, codes of its residual)."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(list of each row, codes of its residual, distance of the row from what its codes stand for)."""
         at = _nearest(x, self.coarse, 1)[:, 0]
         rest, width = x - self.coarse[at], self.dim // self.parts
         codes = [_nearest(np.ascontiguousarray(rest[:, p * width : (p + 1) * width]), b, 1)[:, 0] for p, b in enumerate(self.books)]
-        return at, np.stack(codes, 1).astype(np.uint8)
+        lost = [((rest[:, p * width : (p + 1) * width] - b[codes[p]]) ** 2).sum(1) for p, b in enumerate(self.books)]
+        return at, np.stack(codes, 1).astype(np.uint8), np.sqrt(np.sum(lost, 0))
 
     def distances(self, q: np.ndarray, lists: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances (query, row) of the rows of one list."""
@@ -107,6 +112,38 @@ class IvfPq:
         return out
 
 
+def nearest_exact(q: np.ndarray, d: np.ndarray, error: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of q (rows, distances) of its k nearest ``vectors``, ties by id, equal (id, distance) once.
+
+    ``d`` are asymmetric distances (query, row), each off by at most ``error``; infinite ones stay out. Distances add up
+    squares in order, in double precision."""
+
+    def exact(i: int, rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.cumsum((vectors[rows].astype(np.float64) - q[i]) ** 2, 1)[:, -1])
+
+    one, limit = np.unique(ids, return_index=True)[1], np.full(len(q), np.inf)
+    for i, row in enumerate(d):  # k rows of different ids bound the k-th distance, the best asymmetric ones closely
+        some = one[np.isfinite(row[one])]
+        if len(some) >= k:
+            limit[i] = exact(i, some[np.argpartition(row[some], k - 1)[:k]]).max()
+    nq, nv = (q * q).sum(1)[:, None], (vectors * vectors).sum(1)[None, :]
+    low = d * (1 - SLACK) - error * (1 + SLACK) - 1e-5 * np.sqrt(nq + nv)
+    alive = np.isfinite(d) & (low <= limit[:, None])
+    at, top = np.flatnonzero(alive.any(0)), np.square(limit)[:, None]
+    with one_thread():  # squares in single precision leave few rows for the sums in order
+        alive = alive[:, at] & (nq + nv[:, at] - 2 * q @ vectors[at].T <= top + SLACK * (top + nq + nv[:, at]))
+    out = []
+    for i, row in enumerate(alive):
+        rows = at[row]
+        found = exact(i, rows)
+        order = np.lexsort((ids[rows], found))
+        rows, found = rows[order], found[order]
+        first = np.ones(len(rows), bool)
+        first[1:] = (ids[rows][1:] != ids[rows][:-1]) | (found[1:] != found[:-1])
+        out.append((rows[first][:k], found[first][:k]))
+    return out
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if hasattr(column, "combine_chunks") else column.flatten(), np.float32).reshape(-1, dim)
 
@@ -120,7 +157,7 @@ def build(vectors: DataFrame) -> IvfPq | None:
     return IvfPq(np.array(rows.column("vec").to_pylist(), np.float32), min(MAX_LISTS, max(1, isqrt(n))))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` holds for, its k nearest other rows found.
 
     Score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. Rows with a
@@ -144,10 +181,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     def post(batches):
         ix = shared.value
         for b in batches:
-            lists, codes = ix.encode(_matrix(b.column(1), dim))
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0), pa.array(list(map(bytes, codes)), pa.binary())], ["list", "id", "code"])
+            lists, codes, lost = ix.encode(_matrix(b.column(1), dim))
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(lost, pa.float32()), b.column(1)], ["list", "id", "code", "error", "vec"])
 
-    posted = staged(rows.select("id", "vec").mapInArrow(post, "list int, id long, code binary"), "ivf-lists")
+    posted = staged(rows.select("id", "vec").mapInArrow(post, "list int, id long, code binary, error float, vec array<float>"), "ivf-lists")
     sizes = dict(posted.groupBy("list").count().collect())  # one row per list
     first, count = index.cells(sizes)
     at = lambda values: F.element_at(F.array(*map(F.lit, values.tolist())), F.col("list") + 1)
@@ -177,6 +214,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         if len(q) and len(p):
             ids, listed = p.column("id").to_numpy(), p.column("list").to_numpy()
             codes = np.frombuffer(b"".join(p.column("code").to_pylist()), np.uint8).reshape(len(p), -1)
+            error, vectors = p.column("error").to_numpy(), _matrix(p.column("vec"), dim)
             members = {x: np.flatnonzero(listed == x) for x in np.unique(listed).tolist()}
             qid, x, asked_of = q.column("query_id").to_numpy(), _matrix(q.column("vec"), dim), q.column("lists").to_pylist()
             for a in range(0, len(q), 64):
@@ -185,25 +223,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                     askers = [i for i in range(len(d)) if name in asked_of[a + i]]
                     if askers:
                         d[np.ix_(askers, rows_of)] = shared.value.distances(x[a : a + len(d)][askers], name, codes[rows_of])
-                for i, row in enumerate(d):
-                    others = np.flatnonzero(np.isfinite(row) & (ids != qid[a + i]))
-                    if len(others) > rerank:
-                        limit = np.partition(row[others], rerank - 1)[rerank - 1]
-                        others = others[row[others] <= limit]
-                    best = others[np.lexsort((ids[others], row[others]))[:rerank]]
-                    found.append((np.full(len(best), qid[a + i]), ids[best], row[best]))
+                d[qid[a : a + len(d), None] == ids[None, :]] = np.inf
+                for i, (best, exact) in enumerate(nearest_exact(x[a : a + len(d)], np.sqrt(d), error, ids, vectors, k)):
+                    found.append((np.full(len(best), qid[a + i]), ids[best], exact))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
-        return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float32), strict=True)], ["query_id", "id", "adc"])
+        return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float64), strict=True)], ["query_id", "vec_id", "score"])
 
     # a cell takes far more work than its bytes show, so cells are not gathered into fewer partitions
     n_cells = int((first + count).max())
     asked, posted = asked.repartition(n_cells, "cell"), posted.repartition(n_cells, "cell")
-    near = asked.groupBy("cell").cogroup(posted.groupBy("cell")).applyInArrow(scan, "query_id long, id long, adc float")
-    order = lambda *c: F.row_number().over(W.partitionBy("query_id").orderBy(*c))
-    near = near.withColumn("r", order("adc", "id")).where(F.col("r") <= rerank).select("query_id", "id")
-    asking = rows.where("asks").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
-    pairs = near.join(rows.select("id", "vec"), "id").join(asking, "query_id")
-    squares = F.zip_with("q", "vec", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    scored = pairs.select("query_id", F.col("id").alias("vec_id"), F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"))
-    scored = scored.dropDuplicates(["query_id", "vec_id", "score"])
-    return scored.withColumn("rank", order("score", "vec_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = asked.groupBy("cell").cogroup(posted.groupBy("cell")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    scored = near.dropDuplicates(["query_id", "vec_id", "score"])
+    order = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    return scored.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -152,3 +152,26 @@ def test_ann(spark):
     few = ann.search(vectors(spark, rows[:4]), F.col("vec_id") == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
     assert ann.search(vectors(spark, []), F.col("vec_id") == 0).count() == 0
+
+
+def test_ann_ranks_every_row_that_the_codes_leave_open():
+    """More rows lie within the code error of the 10th neighbour than any fixed depth holds."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((30000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.IvfPq(x[:4000], 4)
+    lists, codes, error = index.encode(x)
+    ids, q = np.arange(len(x)), x[:40]
+    d = np.zeros((len(q), len(x)), np.float32)
+    for name in range(4):
+        d[:, lists == name] = index.distances(q, name, codes[lists == name])
+    d[np.arange(40), np.arange(40)] = np.inf
+    exact = np.stack([np.sqrt(((x.astype(np.float64) - v) ** 2).sum(1)) for v in q])
+    assert (np.abs(np.sqrt(d) - exact)[np.isfinite(d)] <= np.broadcast_to(error, d.shape)[np.isfinite(d)] + 1e-3).all()
+    exact[np.arange(40), np.arange(40)] = np.inf
+    best = np.argsort(exact, 1, kind="stable")[:, :10]
+    cut = np.argsort(d, 1, kind="stable")[:, :150]
+    assert any(set(b) - set(c) for b, c in zip(best.tolist(), cut.tolist(), strict=True))  # what a depth of 150 loses
+    got = ann.nearest_exact(q, np.sqrt(d), error, ids, x, 10)
+    assert all(r.tolist() == b for (r, _), b in zip(got, best.tolist(), strict=True))
+    assert all(np.abs(s - e[r]).max() < 1e-12 for (r, s), e in zip(got, exact, strict=True))
