@@ -360,19 +360,34 @@ def _page_titles(s, d) -> DataFrame:
 
 
 @query("lexical_pairs")
-def lexical_pairs(s, d):
-    p = align.candidate_pairs(*align.sides(_page_titles(s, d)), ["pair_id"])
+def lexical_pairs(s, d, nodes=document_nodes):
+    p = leaf_pairs(nodes(s, d))
     return p.select(*PAIR, F.round(align.lexical(F.col("legacy_text"), F.col("modern_text")), 6).alias("lex"))
 
 
 @query("score_pairs")
-def score_pairs(s, d):
-    n = staged(_page_titles(s, d), "titles")
-    v = vectors.hash_vectors(n, [*SIDE, "node_id"])
-    p = align.score_pairs(align.candidate_pairs(*align.sides(n), ["pair_id"]), v, ["pair_id"], Params().min_similarity)
+def score_pairs(s, d, nodes=document_nodes):
+    """Leaf pairs that reach the least similarity, by the hybrid score with the real lexical ratio; lex is null where the
+    score is 1 whatever it is."""
+    n = staged(tree.leaves(nodes(s, d)), "leaves")
+    v = staged(vectors.hash_vectors(n, [*SIDE, "node_id"]), "vectors")
+    p = align.score_pairs(leaf_pairs(n), v, ["pair_id"], Params().min_similarity)
     return p.where(F.col("candidate") >= Params().min_similarity).select(*PAIR, F.round("lex", 6).alias("lex"), F.round("candidate", 6).alias("candidate"))
 
 
+query("lexical_pairs_titles")(lambda s, d: lexical_pairs(s, d, _page_titles))
+query("score_pairs_titles")(lambda s, d: score_pairs(s, d, _page_titles))
+
+
+@query("hybrid_score_lexical")
+def hybrid_score_lexical(s, d):
+    """The hybrid score of every leaf pair with the real lexical ratio; hybrid_score leaves that out, as its SQL does."""
+    nodes = document_nodes(s, d)
+    v = staged(vectors.hash_vectors(tree.leaves(nodes), [*SIDE, "node_id"]), "vectors")
+    p = align.score_pairs(leaf_pairs(nodes), v, ["pair_id"])
+    return p.select(*PAIR, F.round("raw", 6).alias("raw"), F.round("candidate", 6).alias("candidate"))
+
+
 # -- the queries above over all documents: their SQL covers SMALL only, so the whole has names of its own and no SQL
 
 WHOLE = {name: adapters.single_documents for name in ("scan_blocks", "dedupe_headers", "merge_blocks", "bbox_union", "chunks", "build_nodes_documents", "hash_embed")}

@@ -1,6 +1,7 @@
 """Which documents become blocks and pairs."""
 
 from palimpsest import queries as Q
+from palimpsest.plans.align import lexical_ratio
 from palimpsest.sources import adapters
 
 
@@ -47,3 +48,31 @@ def test_queries_over_all_documents(spark, tmp_path):
     assert counts == {"1", "3", "5", "7", "8", "20"}
     for name in Q.WHOLE:
         assert f"{name}_all" in Q.QUERIES and f"{name}_all" not in Q.ORACLES
+
+
+def test_pair_scores_over_all_leaf_pairs(spark, tmp_path):
+    old = "Report\n1. Scope\nThis policy applies to all the staff.\nRecords are kept for 30 days."
+    docs(spark, [(1, old), (2, old.replace("30", "90")), (3, old.replace("staff", "people"))]).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {(r["pair_id"], r["legacy_id"], r["modern_id"]): r for r in Q.QUERIES[name](spark, str(tmp_path)).collect()}
+    nodes = Q.document_nodes(spark, str(tmp_path)).where("leaf_pos is not null").collect()
+    kind = lambda n: "section" if n["kind"] == "section" else "body"
+    ratio = {
+        (a["pair_id"], a["node_id"], b["node_id"]): lexical_ratio(a["text"], b["text"])
+        for a in nodes for b in nodes if a["pair_id"] == b["pair_id"] and a["doc_side"] == "legacy" and b["doc_side"] == "modern" and kind(a) == kind(b)
+    }
+    bodies = {(n["pair_id"], n["node_id"]) for n in nodes if kind(n) == "body"}
+    assert any((p, a) in bodies for p, a, _ in ratio)
+    lex = run("lexical_pairs")
+    assert {k: r["lex"] for k, r in lex.items()} == {k: round(v, 6) for k, v in ratio.items()}
+    cut = Q.leaf_pairs(Q.document_nodes(spark, str(tmp_path)))
+    cos = {tuple(r[c] for c in Q.PAIR): r["cos"] for r in Q._cosines(Q.document_nodes(spark, str(tmp_path))).collect()}
+    want = {}
+    for r in cut.collect():
+        k = tuple(r[c] for c in Q.PAIR)
+        section = r["legacy_kind"] == "section"
+        extra = 0.05 if section else r["kind_bonus"]
+        want[k] = (0.74 if section else 0.82) * cos.get(k, 0.0) + 0.1 * ratio[k] + (0.08 if section else 0.04) * r["heading"] + r["page_bonus"] + extra + r["size_bonus"]
+    whole = run("hybrid_score_lexical")
+    assert whole.keys() == want.keys() and all(abs(whole[k]["raw"] - v) < 2e-6 for k, v in want.items())
+    scored = run("score_pairs")
+    assert scored.keys() == {k for k, v in want.items() if v >= 0.75} and all(abs(r["candidate"] - min(1, want[k])) < 2e-6 for k, r in scored.items())
