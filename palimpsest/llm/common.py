@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder stands in for it.
+    Where that setting is absent, a temporary folder stands in for it in local mode (tests, a single machine); on a
+    cluster there is no folder that all can read, and an error says so.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="palimpsest-")
@@ -33,13 +40,50 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted on leaving, but for those staged with ``keep``, which the enclosing scratch owns."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Outside of any ``scratch`` the table stays, as results that haven't run yet read it; the folder's owner clears it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
+    for own in _SCRATCH[: len(_SCRATCH) - keep][-1:]:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in this many rows is hot; so there are at most as many hot keys.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n_rows: int, count: str) -> DataFrame:
+    """``rows`` left-joined with ``table``, one row per key with the number of rows of that key in ``count``.
+
+    Rows of hot keys aren't dealt by key: the table's rows for these, at most HOT_SHARE, are broadcast."""
+    limit = max(1, n_rows // HOT_SHARE)
+    marked = rows.join(F.broadcast(table.where(F.col(count) > limit)), key, "left")
+    rest = marked.where(F.col(count).isNull()).select(*rows.columns)
+    cold = rest.join(table.where(F.col(count) <= limit), key, "left")
+    return marked.where(F.col(count).isNotNull()).unionByName(cold)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -72,37 +116,43 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse, modulo 2**64, for i < n."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, np.uint64(b))
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        have = _POWERS[base] = (both[0], both[1])
-    return have
-
-
-#: Odd bases of the two independent word hashes.
-BASES = (0xB4C7D1F3A95E6A2D, 0x9D3F5E2BC16A8475)
-
-
-def words_of(data: np.ndarray, ends: np.ndarray, lower: bool = False, bases=BASES[:1]):
+#: Seeds of the two word hashes; words of more than LONG_WORD bytes are hashed by BLAKE2b, one by one.
+SEEDS = (0xB4C7D1F3A95E6A2D, 0x9D3F5E2BC16A8475)
+LONG_WORD = 64
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def _hash_words(data: np.ndarray, start: np.ndarray, stop: np.ndarray, hashes: int) -> list[np.ndarray]:
+    """64-bit hashes of data[start:stop]: eight bytes at a time are mixed into the state, which starts from the length."""
+    size = stop - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = [mix64(size.astype(np.uint64) + np.uint64(seed)) for seed in SEEDS[:hashes]]
+    todo, done = np.flatnonzero(size <= LONG_WORD), 0
+    while len(todo):
+        chunk = eight[start[todo] + done] & _LOW_BYTES[np.minimum(size[todo] - done, 8)]
+        for h in out:
+            h[todo] = mix64(h[todo] ^ chunk)
+        done += 8
+        todo = todo[size[todo] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        digest = np.frombuffer(hashlib.blake2b(data[start[i] : stop[i]].tobytes(), digest_size=16).digest(), np.uint64)
+        for h, x in zip(out, digest, strict=False):
+            h[i] = x
+    return out
+
+
+def words_of(data: np.ndarray, ends: np.ndarray, lower: bool = False, hashes: int = 1):
     """Words of texts that lie end to end in ``data`` (UTF-8 bytes).
 
     ``ends[i]`` is where text i ends. A word is a maximal run of bytes outside ASCII white space and lies within
-    one text. Returns (start, stop, text index, [hash per base]) of every word, all as arrays.
+    one text. Returns (start, stop, text index, [hash, ...]) of every word, all as arrays. Hashes choose candidates;
+    equality of words is decided on the words (or a cryptographic digest of them).
     """
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
-        return z, z, z, [np.zeros(0, np.uint64) for _ in bases]
+        return z, z, z, [np.zeros(0, np.uint64) for _ in range(hashes)]
     if lower:
         data = _LOWER[data]
     word = ~_SPACE[data]
@@ -115,13 +165,7 @@ def words_of(data: np.ndarray, ends: np.ndarray, lower: bool = False, bases=BASE
     close[:-1] &= ~word[1:] | edge[1:n]
     stop = np.flatnonzero(close) + 1
     text = np.searchsorted(ends, start, side="right")
-    hashes = []
-    for base in bases:
-        up, down = _powers(base, n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        hashes.append(mix64((total[stop] - total[start]) * down[start]))
-    return start, stop, text, hashes
+    return start, stop, text, _hash_words(data, start, stop, hashes)
 
 
 def windows_of(text: np.ndarray, hashes: list[np.ndarray], k: int):

@@ -1,34 +1,43 @@
-"""N-gram Jaccard join over count vectors in R-tree leaves.
-
-A document's set of word n-grams is a point: its n-grams are hashed into GROUPS groups and counted per group. Two sets share at
-most the sum over groups of the smaller count, and two leaves (bounding boxes of points) at most the sum of the smaller
-upper corners, so pairs of leaves, then of nodes within leaves, then of points that cannot reach the threshold are
-passed over; what survives is verified on the sets themselves.
-
-Which documents may meet at all is settled before, without loss: n-grams are ordered from rare to common by the levels of a
-merged count-min sketch, and two sets that reach the threshold share one of the first n - ceil(t * n) + 1 of each; those
-of level 1 no other document has. Documents that share such an n-gram are linked into clusters, and an R-tree is built
-for each cluster. Its leaves hold a bounded
-number of points and bytes, and a task works on one pair of leaves, so a large cluster is spread. Equal sets are one point.
+"""N-gram Jaccard join by an R-tree over count vectors.
+
+A document's set of word n-grams is a point: its n-grams are hashed into groups and counted per group. Two sets share at
+most the sum over groups of the smaller count, and two boxes of points at most the sum of the smaller upper corners.
+
+1. Equal word sequences (A-Z lower-cased) are one point, told by a BLAKE2b digest of the words.
+2. Points are packed into leaves by size band and by the point's first coordinate in hash order that other documents
+   have as well, so near copies lie together. A leaf is bounded in points and bytes.
+3. Boxes of thousands of random points overlap in every group, so a tree alone would compare nearly all pairs of leaves.
+   Which points of two leaves are compared is therefore settled by coordinates, without loss: n-grams are ordered from
+   rare to common by the levels of a merged count-min sketch, and two sets that reach the threshold share one of the first
+   n - ceil(t * n) + 1 of each; those of level 1 no other document has. The points of leaves A and B that share such a
+   coordinate across A and B form the task (A, B); no closure over pairs is taken.
+4. A task packs its points into a tree of boxes by coordinates (NODE points, then NODE boxes each) and descends through
+   pairs of boxes whose summed minima can reach the threshold, then pairs of points; what survives is verified on the
+   words: n-grams get exact numbers within the task, from a table of its words, in place of hashes.
+
+Each pair of points meets in one task at most, so links are counted exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
+from math import ceil, log2
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import mix64, slices, staged, windows_of, words_of
+from palimpsest.llm.common import join_counted, slices, staged, windows_of, words_of
 from palimpsest.llm.components import connected_components, forest
 from palimpsest.llm.exact_dedup import hit_filter
-from palimpsest.llm.repeat_sketch import PARTIAL, in_blocks, levels_of, merged_replies, partial_sketch, ranges_for
+from palimpsest.llm.repeat_sketch import PARTIAL, in_blocks, levels_of, merged_replies, partial_sketch
 
-#: Groups of the count vector; most points and bytes of a leaf, about; points of a node within a leaf.
-GROUPS, LEAF_POINTS, LEAF_BYTES, NODE = 64, 2048, 8 << 20, 16
-#: N-grams of this level (the highest) are dealt by a salt too, into this many parts.
-HOT, SALTS = 255, 16
+#: Fewest and most groups of the count vector; most points and bytes of words of a leaf, about; points or boxes in a box.
+GROUPS, MOST_GROUPS, LEAF_POINTS, LEAF_BYTES, NODE = 64, 1024, 2048, 8 << 20, 16
+#: N-grams of this level (the highest) may be in any number of documents; their meetings are dealt by leaf.
+HOT = 255
+#: Ratio between the sizes of neighbouring bands.
+BAND = 1.2
 
 
 def shingle_sets(column, n: int):
@@ -52,42 +61,94 @@ def shingle_sets(column, n: int):
                 yield first + i, np.zeros(0, np.uint64)
 
 
+def plain_words(text: str | None) -> bytes:
+    """The words of a text, A-Z lower-cased, joined by one space."""
+    return b" ".join((text or "").encode().lower().split())
+
+
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def exact_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The distinct word n-grams of each text (words joined by one space) as numbers, equal where the n-grams are."""
+    number: dict[bytes, int] = {}
+    words = [[number.setdefault(w, len(number) + 1) for w in t.split(b" ")] for t in texts]
+    size = np.array([len(w) for w in words], np.int64)
+    grams = np.maximum(size - n + 1, 1)
+    flat = np.concatenate([*map(np.array, words), np.zeros(n, np.int64)]).astype(np.int64)
+    first, owner = np.cumsum(size) - size, np.repeat(np.arange(len(texts)), grams)
+    at = first[owner] + np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
+    code = flat[at]
+    for j in range(1, n):  # pairs of numbers are numbered anew; 0 stands for no word
+        code = np.unique(code * (len(number) + 1) + np.where(j < size[owner], flat[at + j], 0), return_inverse=True)[1]
+    return [np.unique(c) for c in np.split(code, np.cumsum(grams)[:-1])]
+
+
 def reaches(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether 100 * intersection >= percent * union."""
     return 100 * shared >= percent * (a + b - shared)
 
 
-def _links_of(sets: list, n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
-    """Pairs (one of left, one of right) that reach the threshold; each unordered pair of distinct points once if left is right."""
-    same = left is right
-    a_out, b_out = [], []
-
-    def nodes(side):
-        side = side[np.lexsort((vectors[side, 0], n[side]))]
-        parts = [side[i : i + NODE] for i in range(0, len(side), NODE)]
-        return parts, np.array([vectors[p].max(0) for p in parts]), np.array([n[p].min() for p in parts]), np.array([n[p].max() for p in parts])
-
-    (pa_, ca, la, ha), (pb, cb, lb, hb) = (nodes(left), nodes(right)) if not same else (nodes(left),) * 2
-    for i, part in enumerate(pa_):
-        near = np.minimum(np.minimum(ca[i], cb).sum(1), np.minimum(ha[i], hb))  # most that any pair of points shares
-        ok = np.flatnonzero(reaches(near, la[i], lb, percent))
-        ok = ok[ok >= i] if same else ok
-        if not len(ok):
-            continue
-        others = np.concatenate([pb[j] for j in ok])
-        most = np.minimum(vectors[part][:, None, :], vectors[others][None]).sum(2)
-        x, y = np.nonzero(reaches(most, n[part][:, None], n[others][None], percent))
+class Tree:
+    """Points packed by their coordinates into boxes of NODE points, and those into boxes of NODE boxes."""
+
+    def __init__(self, n: np.ndarray, vectors: np.ndarray, points: np.ndarray):
+        spread = vectors[points].var(0)
+        axes = np.argsort(-spread, kind="stable")[:3]
+        order = np.lexsort((*(vectors[points][:, a] for a in axes), n[points]))
+        self.n, self.vectors = n, vectors
+        self.parts = [points[order[i : i + NODE]] for i in range(0, len(points), NODE)]
+        self.corner = np.array([vectors[p].max(0) for p in self.parts])
+        self.low, self.high = (np.array([f(n[p]) for p in self.parts]) for f in (np.min, np.max))
+        cuts = np.arange(0, len(self.parts), NODE)
+        self.upper = [np.arange(c, min(c + NODE, len(self.parts))) for c in cuts]
+        self.upper_corner = np.maximum.reduceat(self.corner, cuts)
+        self.upper_low, self.upper_high = np.minimum.reduceat(self.low, cuts), np.maximum.reduceat(self.high, cuts)
+
+    @staticmethod
+    def _near(corner, low, high, corners, lows, highs, percent):
+        most = np.minimum(np.minimum(corner, corners).sum(1), np.minimum(high, highs))  # most that any pair of points shares
+        return np.flatnonzero(reaches(most, low, lows, percent))
+
+    def meet(self, other: Tree, percent: int):
+        """Pairs of points (one here, one of ``other``) that summed minima leave; within one tree each pair once."""
+        same = self is other
+        for u in range(len(self.upper)):
+            tops = self._near(self.upper_corner[u], self.upper_low[u], self.upper_high[u], other.upper_corner, other.upper_low, other.upper_high, percent)
+            tops = tops[tops >= u] if same else tops
+            if not len(tops):
+                continue
+            below = np.concatenate([other.upper[t] for t in tops])
+            for i in self.upper[u]:
+                some = below[below >= i] if same else below
+                some = some[self._near(self.corner[i], self.low[i], self.high[i], other.corner[some], other.low[some], other.high[some], percent)]
+                step = max(1, (1 << 22) // (NODE * NODE * self.vectors.shape[1]))
+                for a in range(0, len(some), step):
+                    yield self._points(i, some[a : a + step], other, percent)
+
+    def _points(self, i: int, some: np.ndarray, other: Tree, percent: int):
+        part, others = self.parts[i], np.concatenate([other.parts[j] for j in some])
+        most = np.minimum(self.vectors[part][:, None, :], other.vectors[others][None]).sum(2)
+        x, y = np.nonzero(reaches(most, self.n[part][:, None], self.n[others][None], percent))
         x, y = part[x], others[y]
-        if same:
+        if self is other:
             keep = (x < y) | ((x > y) & ~np.isin(y, part))
             x, y = x[keep], y[keep]
-        a_out.append(x)
-        b_out.append(y)
-    if not a_out:
+        return x, y
+
+
+def _links_of(sets: list, left: np.ndarray, right: np.ndarray, percent: int):
+    """Pairs (one of left, one of right) that reach the threshold; each unordered pair of distinct points once if left is right."""
+    n = np.array([len(s) for s in sets], np.int64)
+    groups = int(min(MOST_GROUPS, max(GROUPS, 1 << int(n.max() // 4).bit_length())))
+    vectors = np.stack([np.bincount(s * 0x9E3779B1 >> 7 & groups - 1, minlength=groups) for s in sets]).astype(np.int32)
+    tree = Tree(n, vectors, left)
+    pairs = list(tree.meet(tree if left is right else Tree(n, vectors, right), percent))
+    if not pairs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(a_out), np.concatenate(b_out)
-    shared = _overlaps(sets, a, b)
-    hit = reaches(shared, n[a], n[b], percent)
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    hit = reaches(_overlaps(sets, a, b), n[a], n[b], percent)
     return a[hit], b[hit]
 
 
@@ -128,16 +189,45 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "do
     Two documents link when 100 * intersection >= percent * union of their sets of n consecutive words; component_id is
     the smallest id reachable by links, n_links the number of other rows linked to directly. Null texts and texts
     without words have an empty set, link with nothing and are their own component. Rows without an id link with
-    nothing and have component null. Rows that share an id are one node. Further columns are ignored; an empty table gives
-    an empty result.
+    nothing and have component null. Rows that share an id are one node, whatever their texts; each counts as a row in
+    n_links. Ids are taken as longs. Further columns are ignored, whatever their names; an empty table gives an
+    empty result. A task holds two leaves, so the longest text decides its memory where that exceeds LEAF_BYTES.
     """
+    rows, seen, n_rows = _points(docs, n, percent, id_col, text_col)
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = staged(classes.withColumn("point", F.monotonically_increasing_id()), "ngram-classes")
+    linkable = rows.where("n > 0 and doc_id is not null")
+    placed = staged(join_counted(linkable, classes, "digest", n_rows, "copies").select("doc_id", "n", "digest", "point", "rep", "copies"), "ngram-rows")
+
+    tasks = _tasks(seen, classes)
+    links = _verify(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), classes, tasks, n, percent)
+    # rows of one id are one node: their points are tied
+    ties = placed.groupBy("doc_id").agg(F.min("point").alias("a"), F.max("point").alias("z")).where("a < z").join(placed.select("doc_id", F.col("point").alias("b")), "doc_id").select("a", "b")
+    edges = links.select(F.col("point").alias("a"), F.col("root").alias("b")).unionByName(ties)
+    found = connected_components(edges)
+    counted = links.groupBy("point").agg(F.sum("links").alias("links"))
+    smallest = classes.join(found.withColumnRenamed("node", "point"), "point").groupBy("component").agg(F.min("rep").alias("lowest"))
+    grouped = found.withColumnRenamed("node", "point").join(smallest, "component").select("point", "lowest")
+    per_class = classes.join(grouped, "point", "left").join(counted, "point", "left").select(
+        "digest", "copies", F.coalesce("lowest", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0).cast("long"))).alias("n_links")
+    )
+    full = join_counted(placed.select("doc_id", "n", "digest"), per_class, "digest", n_rows, "copies")
+    full = staged(full.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links"), "ngram-result")
+    # rows without words share the component of their id, if other rows of it have words
+    of_id = full.groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    rest = rows.where("n = 0 or doc_id is null")
+    known = rest.where("doc_id is not null").join(of_id, "doc_id", "left")
+    alone = known.select("doc_id", "n", "c").unionByName(rest.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("c")))
+    return full.unionByName(alone.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def _points(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, n, digest of every row; of one row of each text in a block: doc_id, n, bytes, digest, first, tokens, hot;
+    rows). ``tokens`` are the n-grams of the point's prefix that others may have, ``hot`` those of the highest level."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    base, total = in_blocks(docs)
-    ranges = ranges_for(total // 6)
+    base, ranges = in_blocks(docs)
 
     def sets_of(table: pa.Table) -> list[np.ndarray]:
         column = table.column("text").combine_chunks()
@@ -147,170 +237,160 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "do
     def sketch(table: pa.Table) -> pa.Table:
         return partial_sketch(table.column("block")[0].as_py(), np.concatenate(sets_of(table)), ranges)
 
+    names = ["doc_id", "n", "digest", "bytes", "first", "tokens", "hot"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
     def prefixes(table: pa.Table, replies: pa.Table) -> pa.Table:
-        """A row for each document and, below, one for each n-gram of its prefix that others may have."""
-        names = ["doc_id", "n", "digest", "token", "salt"]
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
         if not len(table):
             return pa.table([pa.array([], k) for k in kinds], names)
         sets, ids = sets_of(table), table.column("doc_id").to_pylist()
-        levels = np.split(levels_of(np.concatenate(sets), replies, ranges), np.cumsum([len(s) for s in sets])[:-1])
-        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        known: set[bytes] = set()  # of equal sets in a block one is sent
-        tokens, who, salts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for i, (s, level) in enumerate(zip(sets, levels, strict=True)):
-            if ids[i] is None or not len(s) or digests[i] in known:
-                continue
-            known.add(digests[i])
-            size = len(s) + 1 - -(-percent * len(s) // 100)
-            pick = np.argsort(level, kind="stable")[:size]  # of equal levels the smaller hashes
+        texts = [plain_words(t.as_py()) for t in table.column("text")]
+        use = [i for i, s in enumerate(sets) if ids[i] is not None and len(s)]
+        levels = levels_of(np.concatenate([*(sets[i] for i in range(len(ids)) if ids[i] is not None), np.zeros(0, np.uint64)]), replies, ranges)
+        by_row = dict(zip((i for i in range(len(ids)) if ids[i] is not None), np.split(levels, np.cumsum([len(s) for i, s in enumerate(sets) if ids[i] is not None])[:-1]), strict=True)) if use else {}
+        digests = [_digest(t) for t in texts]
+        best: dict[bytes, int] = {}  # of equal texts in a block the smallest id is sent
+        for i in use:
+            if digests[i] not in best or ids[i] < ids[best[digests[i]]]:
+                best[digests[i]] = i
+        sent = {i: None for i in best.values()}
+        first, tokens, hot = [None] * len(ids), [None] * len(ids), [None] * len(ids)
+        for i in sent:
+            s, level = sets[i], by_row[i]
+            pick = np.argsort(level, kind="stable")[: len(s) + 1 - -(-percent * len(s) // 100)]  # of equal levels the smaller hashes
             pick = pick[level[pick] > 1]
-            tokens.append(s[pick])
-            who.append(np.full(len(pick), ids[i], np.int64))
-            salts.append(np.where(level[pick] >= HOT, 1 + int(mix64(np.array([ids[i]], np.int64).view(np.uint64))[0]) % SALTS, 0).astype(np.int32))
-        token = np.concatenate(tokens).view(np.int64)
-        m, none = len(ids), pa.nulls(len(token))
-        columns = [
-            (table.column("doc_id").combine_chunks(), np.concatenate(who)),
-            (pa.array([len(s) for s in sets], pa.int32()), none),
-            (pa.array(digests, pa.binary()), none),
-            (pa.nulls(m), token),
-            (pa.nulls(m), np.concatenate(salts)),
-        ]
-        return pa.table([pa.chunked_array([pa.array(x, k) if not isinstance(x, (pa.Array, pa.ChunkedArray)) else x.cast(k) for x in pair], k) for pair, k in zip(([a if not isinstance(a, pa.ChunkedArray) else a.combine_chunks(), b] for a, b in columns), kinds, strict=True)], names)
-
-    replies = merged_replies(base.groupBy("block").applyInArrow(sketch, PARTIAL))
-    seen = base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(prefixes, "doc_id long, n int, digest binary, token long, salt int")
-    seen = staged(seen, "ngram-sets")
-    rows = seen.where("n is not null").select("doc_id", "n", "digest")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    known = F.col("doc_id").isNotNull()
-    rows = staged(rows.join(classes, "digest", "left").select("doc_id", "n", F.when(known, F.col("rep")).alias("rep"), F.when(known, F.col("copies")).alias("copies")), "ngram-rows")
+            if len(pick):
+                first[i] = int(s[level > 1][:1].view(np.int64)[0])
+                tokens[i], hot[i] = (s[pick[at]].view(np.int64) for at in (level[pick] < HOT, level[pick] >= HOT))
+        columns = [ids, [len(s) for s in sets], digests, [len(t) for t in texts], first, tokens, hot]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def meet(batches):
-        """Rows sorted by n-gram, salt and id become links with the first document of each; of salted n-grams the first
-        documents are passed on as well."""
-        last, lowest = None, 0
-        for b in batches:
-            t, s, d = (b.column(i).to_numpy() for i in range(3))
-            if not len(t):
-                continue
-            fresh = np.ones(len(t), bool)
-            fresh[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-            fresh[0] = last != (t[0], s[0])
-            low = np.concatenate([[lowest], d[np.flatnonzero(fresh)]])[np.cumsum(fresh)]
-            last, lowest = (t[-1], s[-1]), low[-1]
-            linked = low != d
-            pairs = np.unique(np.stack([d[linked], low[linked]], 1), axis=0) if linked.any() else np.zeros((0, 2), np.int64)
-            on = fresh & (s > 0)
-            token = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(t[on])])
-            a, c = np.concatenate([pairs[:, 0], d[on]]), np.concatenate([pairs[:, 1], d[on]])
-            yield pa.RecordBatch.from_arrays([token, pa.array(a.astype(np.int64)), pa.array(c.astype(np.int64))], ["token", "a", "b"])
-
-    kind = "token long, a long, b long"
-    sent = seen.where("token is not null").select("token", "salt", "doc_id")
-    met = staged(sent.repartition("token", "salt").sortWithinPartitions("token", "salt", "doc_id").mapInArrow(meet, kind), "ngram-met")
-    heads = met.where("token is not null").select("token", F.lit(0).alias("salt"), F.col("a").alias("doc_id"))
-    joined = heads.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(meet, kind)
-    pairs = met.where("token is null").select("a", "b").unionByName(joined.select("a", "b")).distinct()
-    reps = rows.where("rep is not null").select("doc_id", "rep").distinct()
-    pairs = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-    clusters = staged(connected_components(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "ngram-clusters")
-
-    linked = _verify(docs, rows, clusters, n, percent)
-    found = connected_components(linked.where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-    counts_of = linked.groupBy("doc_id").agg(F.sum("links").alias("links")).select(F.col("doc_id").alias("rep"), "links")
-    out = rows.join(found.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").join(counts_of, "rep", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("c", "rep", "doc_id").alias("component_id"),
-        F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0).cast("long")), F.lit(0).cast("long")).alias("n_links"),
-    )
+    replies = merged_replies(base.where("doc_id is not null").groupBy("block").applyInArrow(sketch, PARTIAL), ranges)
+    schema = "doc_id long, n int, digest binary, bytes long, first long, tokens array<long>, hot array<long>"
+    seen = staged(base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(prefixes, schema), "ngram-sets")
+    return seen.select("doc_id", "n", "digest"), seen.where("first is not null"), seen.count()
 
 
-def _verify(docs: DataFrame, rows: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, root, links) of the points of all clusters, per pair of leaves: a forest of the links found there and
-    the copies at the other ends of a point's links."""
+def _tasks(seen: DataFrame, classes: DataFrame) -> DataFrame:
+    """(left, right, home, point): the points (each of leaf ``home``) of leaves ``left`` <= ``right`` that share a coordinate of their prefixes with a
+    point of the other leaf (or another of the same)."""
     import pyarrow as pa
 
-    total = clusters.count()
-    members = clusters.join(rows.where("doc_id = rep").select(F.col("doc_id").alias("node"), "n", "copies").distinct(), "node")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.2)))).cast("int")
-    members = members.withColumn("band", band)
-    sizes = members.groupBy("component", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("bytes"))
-    tiles = F.greatest(F.ceil(F.col("m") / LEAF_POINTS), F.ceil(F.col("bytes") * 8 / LEAF_BYTES)).cast("int")
-    members = members.join(sizes.select("component", "band", tiles.alias("tiles")), ["component", "band"])
-    members = members.withColumn("leaf", F.concat_ws(":", "component", "band", F.pmod(F.xxhash64("node"), "tiles")))
-    members = members.select(F.col("node").alias("doc_id"), "component", "leaf", "copies")
-
-    def points(batches):
+    spark = seen.sparkSession
+    points = seen.join(classes, "digest").where("doc_id = rep").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int"))
+    points = staged(points.select("point", "band", "first", "bytes", "tokens", "hot"), "ngram-points")
+    sizes = lambda *by: points.groupBy(*by).agg(F.greatest(F.count(F.lit(1)) / LEAF_POINTS, F.sum("bytes") / LEAF_BYTES).alias("leaves"))
+    bits = {r["band"]: max(0, ceil(log2(r["leaves"]))) for r in sizes("band").collect()}  # a row per band, so a hundred or so
+    if not bits:
+        return spark.createDataFrame([], "left long, right long, home long, point long")
+    shift = F.lit(0)
+    for band, b in bits.items():
+        shift = F.when(F.col("band") == band, F.lit(b)).otherwise(shift)
+    # leaf: band, top bits of the first coordinate, and a part by point where too many share those
+    top = F.shiftrightunsigned("first", 1)
+    cell = (F.col("band").cast("long") * F.lit(1 << 32)) + F.call_function("shiftright", top, (F.lit(63) - shift).cast("int"))
+    points = points.withColumn("cell", cell)
+    cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.greatest(F.count(F.lit(1)) / LEAF_POINTS, F.sum("bytes") / LEAF_BYTES)).alias("parts"))
+    n_points = points.count()
+    placed = join_counted(points.select("point", "cell", "tokens", "hot"), cells, "cell", n_points, "m")
+    placed = staged(placed.withColumn("leaf", F.col("cell") * F.lit(1 << 20) + F.pmod(F.xxhash64("point"), "parts")).select("point", "leaf", "tokens", "hot"), "ngram-leaves")
+
+    def meet(batches):
+        """Rows sorted by n-gram, leaf and point, an n-gram at a time: the points that it brings into each task."""
+        held: list = []
+
+        def out(rows: np.ndarray):
+            rows = np.unique(rows, axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], ["left", "right", "home", "point"])
+
+        def tasks_of(leaf: np.ndarray, point: np.ndarray) -> np.ndarray:
+            starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+            leaves, size = leaf[starts], np.diff(np.append(starts, len(leaf)))
+            own = np.repeat(size > 1, size)
+            found = [np.stack([leaf[own], leaf[own], leaf[own], point[own]], 1)]
+            if len(leaves) > 1:
+                other = np.tile(leaves, len(leaf))
+                mine, who = np.repeat(leaf, len(leaves)), np.repeat(point, len(leaves))
+                far = mine != other
+                found.append(np.stack([np.minimum(mine, other)[far], np.maximum(mine, other)[far], mine[far], who[far]], 1))
+            return np.concatenate(found)
+
         for b in batches:
-            sets = [s for _, s in shingle_sets(b.column(1), n)]
-            vectors = [np.bincount((mix64(s) >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32) for s in sets]
-            flat = pa.array(np.concatenate([*vectors, np.zeros(0, np.int32)]))
-            vector = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * GROUPS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array([len(s) for s in sets], pa.int32()), vector, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "component", "leaf", "copies", "n", "vector", "hashes"])
-
-    near = docs.where(hit_filter(clusters, total, "node")(F.col("doc_id"))).join(members, "doc_id").select("doc_id", "text", "component", "leaf", "copies")
-    tree = staged(near.mapInArrow(points, "doc_id long, component long, leaf string, copies long, n int, vector array<int>, hashes binary"), "ngram-points")
-
-    def box(table: pa.Table) -> pa.Table:
-        v, size = np.array(table.column("vector").to_pylist(), np.int32), table.column("n").to_numpy()
-        return pa.table([table.column("component").slice(0, 1), table.column("leaf").slice(0, 1), pa.array([size.min()], pa.int32()), pa.array([size.max()], pa.int32()), pa.array([v.max(0)], pa.list_(pa.int32()))], ["component", "leaf", "lo", "hi", "corner"])
-
-    per = tree.groupBy("component").agg(F.min("leaf").alias("l"), F.max("leaf").alias("h"))
-    several = per.where("l <> h").select("component")
-    boxes = tree.select("component", "leaf", "n", "vector").join(several, "component", "left_semi").groupBy("component", "leaf").applyInArrow(box, "component long, leaf string, lo int, hi int, corner array<int>")
-    boxes = staged(boxes, "ngram-boxes")
-    one, two = (boxes.select("component", *[F.col(c).alias(f"{c}{k}") for c in ("leaf", "lo", "hi", "corner")]) for k in "12")
-    most = F.least(F.aggregate(F.zip_with("corner1", "corner2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x), "hi1", "hi2")
-    pairs = one.join(two, "component").where((F.col("leaf1") < F.col("leaf2")) & (100 * most >= percent * (F.col("lo1") + F.col("lo2") - most)))
-    key = F.concat_ws("|", "leaf1", "leaf2")
-    pairs = pairs.select(F.explode(F.array(F.struct(key.alias("task"), F.col("leaf1").alias("leaf"), F.lit(0).alias("side")), F.struct(key.alias("task"), F.col("leaf2").alias("leaf"), F.lit(1).alias("side")))).alias("x")).select("x.*")
-    parts = ["doc_id", "copies", "n", "vector", "hashes"]
-    own = tree.select(F.col("leaf").alias("task"), F.lit(0).alias("side"), *parts)
-    across = tree.join(pairs, "leaf").select("task", "side", *parts)
-
-    def verify(group) -> list:
-        side, ids, copies, size, vectors, hashes = group
-        sets = [np.frombuffer(h, np.uint64) for h in hashes]
-        left = np.flatnonzero(side == 0)
-        a, b = _links_of(sets, size, vectors, left, left if (side == 0).all() else np.flatnonzero(side == 1), percent)
+            held.append(np.stack([b.column(i).to_numpy() for i in range(3)], 1))
+            rows = np.concatenate(held)
+            cuts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else np.zeros(0, np.int64)
+            if len(cuts) > 1:  # the last n-gram may go on in the next batch
+                held = [rows[cuts[-1] :]]
+                several = [(s, e) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if e - s > 1]
+                if several:
+                    yield out(np.concatenate([tasks_of(rows[s:e, 1], rows[s:e, 2]) for s, e in several]))
+        if held and len(rows := np.concatenate(held)) > 1:
+            yield out(tasks_of(rows[:, 1], rows[:, 2]))
+
+    usual = placed.select(F.explode("tokens").alias("token"), "leaf", "point")  # a token of a level below HOT is in few documents
+    met = usual.repartition("token").sortWithinPartitions("token", "leaf", "point").mapInArrow(meet, "left long, right long, home long, point long")
+    hot = placed.select(F.explode("hot").alias("token"), "leaf", "point")
+    held = hot.groupBy("token", "leaf").agg(F.count(F.lit(1)).alias("m"))
+    one, two = (held.select("token", F.col("leaf").alias(side), F.col("m").alias(f"m_{side}")) for side in ("left", "right"))
+    pairs = one.join(two, "token").where("left < right or (left = right and m_left > 1)").select("token", "left", "right")
+    into = pairs.select("token", F.col("left").alias("leaf"), "left", "right").unionByName(pairs.where("left < right").select("token", F.col("right").alias("leaf"), "left", "right"))
+    crowd = hot.join(into, ["token", "leaf"]).select("left", "right", F.col("leaf").alias("home"), "point")
+    return staged(met.unionByName(crowd).distinct(), "ngram-tasks")
+
+
+def _verify(docs: DataFrame, classes: DataFrame, tasks: DataFrame, n: int, percent: int) -> DataFrame:
+    """(point, root, links) per task: a forest of the links found there and the copies at the other ends of a point's links."""
+    import pyarrow as pa
+
+    wanted = tasks.select("point").distinct().join(classes, "point")
+    wanted = staged(wanted, "ngram-wanted")
+    total = wanted.count()
+
+    def plain(batches):
+        for b in batches:
+            words = [plain_words(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_digest, words), pa.binary()), pa.array(words, pa.binary())], ["rep", "digest", "words"])
+
+    near = docs.where(hit_filter(wanted, total, "rep")(F.col("doc_id"))).mapInArrow(plain, "rep long, digest binary, words binary")
+    points = near.join(wanted, ["digest", "rep"]).dropDuplicates(["digest"]).select("point", "copies", "words")
+    work = tasks.join(staged(points, "ngram-texts"), "point")
+
+    def verify(table: pa.Table) -> list:
+        left = table.column("left")[0].as_py()
+        sets = exact_sets(table.column("words").to_pylist(), n)
+        ids, copies = table.column("point").to_numpy(), table.column("copies").to_numpy()
+        side = table.column("home").to_numpy() == left
+        a = np.flatnonzero(side)
+        a, b = _links_of(sets, a, a if side.all() else np.flatnonzero(~side), percent)
         if not len(a):
             return []
         links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
         nodes, root = forest(ids[a], ids[b])
         by_id = dict(zip(nodes.tolist(), root.tolist(), strict=True))
-        touched = np.flatnonzero(links)
-        return [(int(ids[i]), by_id[int(ids[i])], int(links[i])) for i in touched]
+        return [(int(ids[i]), by_id[int(ids[i])], int(links[i])) for i in np.flatnonzero(links)]
 
     def run(batches):
         """Rows sorted by task, one task after another."""
-        held, task = [], None
-
-        def flush():
-            t = pa.Table.from_batches(held)
-            v = t.column("vector").combine_chunks()
-            return verify((t.column("side").to_numpy(), t.column("doc_id").to_numpy(), t.column("copies").to_numpy(), t.column("n").to_numpy().astype(np.int64), np.asarray(v.flatten()).reshape(-1, GROUPS), t.column("hashes").to_pylist()))
+        held: list = []
 
         def rows_of(found):
             c = list(zip(*found, strict=True)) if found else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["doc_id", "root", "links"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["point", "root", "links"])
 
         for b in batches:
-            names = np.array(b.column(0).to_pylist(), object)
-            cuts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else []
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(i).to_numpy() for i in range(2)], 1)
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
             found = []
-            for s, e in zip(cuts, [*cuts[1:], len(names)], strict=True):
-                if names[s] != task and held:
-                    found += flush()
-                    held.clear()
-                task = names[s]
+            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+                if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (key[s, 0], key[s, 1]):
+                    found += verify(pa.Table.from_batches(held))
+                    held = []
                 held.append(b.slice(s, e - s))
             yield rows_of(found)
         if held:
-            yield rows_of(flush())
+            yield rows_of(verify(pa.Table.from_batches(held)))
 
-    work = own.unionByName(across).repartition("task").sortWithinPartitions("task")
-    return staged(work.mapInArrow(run, "doc_id long, root long, links long"), "ngram-links")
+    work = work.select("left", "right", "home", "point", "copies", "words").repartition("left", "right").sortWithinPartitions("left", "right")
+    return staged(work.mapInArrow(run, "point long, root long, links long"), "ngram-links")

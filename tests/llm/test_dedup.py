@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,15 @@ def test_ngram_join_edges(make):
     assert ngram_join(make([])).count() == 0
     out = ngram_join(make([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "A B c d e f"), (2, ""), (3, None)])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in out) == [(-1, -1), (2, 2), (3, 3), (4, 4), (4, 4), (9, 4)]
+    a, b = "a b c d e f", "g h i j k l"
+    out = ngram_join(make([(5, a), (5, b), (3, a), (7, b), (5, None), (8, None)])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(3, 3), (5, 3), (5, 3), (5, 3), (7, 3), (8, 8)]
+
+
+def test_components_of_hubs(spark):
+    links = [(5000, i) for i in range(400)] + [(i, i + 1000) for i in range(400)] + [(9000, 9001)]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: 0 for i in [*range(400), *range(1000, 1400), 5000]} | {9000: 9000, 9001: 9000}
 
 
 def test_components(spark):
@@ -129,10 +140,51 @@ def brute_windows(rows, k):
 
 @pytest.mark.parametrize("k,block,items", [(13, 8 << 20, 1 << 21), (3, 5000, 500)])
 def test_substring_dedup(make, corpus, k, block, items):
-    out = remove_repeated_windows(make(corpus), window=k, block_bytes=block, range_windows=items).collect()
+    out = remove_repeated_windows(make(corpus), window=k, block_bytes=block, range_items=items).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in out} == brute_windows(corpus, k)
 
 
+def thue_morse(n, first="a"):
+    """Words of letters a and b that polynomial hashes modulo 2**64 with any odd base confuse."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b ^ (first == "b")] for b in bits)
+
+
+def test_words_are_told_apart(make):
+    x, y = thue_morse(1024), thue_morse(1024, "b")
+    rows = [(1, " ".join([x] * 13)), (2, " ".join([y] * 13)), (3, " ".join([x] * 13))]
+    out = {r["doc_id"]: r["n_removed"] for r in remove_repeated_windows(make(rows)).collect()}
+    assert out == {1: 0, 2: 0, 3: 13}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join(make(rows)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_colliding_hashes_decide_nothing(corpus, monkeypatch):
+    """With word hashes of four bits, windows are still grouped by their words."""
+    from palimpsest.llm import common, substring_dedup
+
+    words = common.words_of
+
+    def weak(data, ends, **kw):
+        start, stop, text, hashes = words(data, ends, **kw)
+        return start, stop, text, [h & np.uint64(15) for h in hashes]
+
+    monkeypatch.setattr(substring_dedup, "words_of", weak)
+    rows = sorted(corpus[:100])
+    block = substring_dedup.Block(pa.table({"doc_id": [i for i, _ in rows], "text": pa.array([t for _, t in rows], pa.string())}), 1)
+    which, _, _, first = block.grouped(np.arange(len(block.at)))
+    flat = [w for _, t in rows for w in re.findall(SPACE, t or "")]
+    assert [flat[w] for w in which] and len(set(flat)) == first.sum()
+    assert all((flat[a] == flat[b]) == (not f) for a, b, f in zip(which[:-1], which[1:], first[1:], strict=True))
+
+
+def test_sketch_layout():
+    from palimpsest.llm.repeat_sketch import ITEM_BYTES, MESSAGE_ITEMS, layout
+
+    for total in (0, 10**6, 10**9, 10**11, 10**12):
+        block, items = layout(total)
+        assert block // ITEM_BYTES * items >= MESSAGE_ITEMS * (total // ITEM_BYTES)
+
+
 def test_substring_dedup_edges(make):
     assert remove_repeated_windows(make([])).count() == 0
     t = "a b c d"
