@@ -4,7 +4,8 @@ Encoding reads a text in chunks. Words are cut off as soon as no later character
 word are emitted as soon as no later byte can: for each prefix of a word the transducer keeps the last token of that
 prefix's encoding (the one token that ends there and stands the neighbouring token beside it), and a boundary is stable
 once the encodings of all prefixes that a later token could start from share it. How many bytes that takes at most
-follows from the merge list (``sufficient_lookahead``), so memory does not grow with the length of a word or text.
+follows from the merge list (``sufficient_lookahead``). Words of more than OPEN_WORD characters are fed to the transducer
+as they come, so memory beyond the row itself does not grow with the length of a word or text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,15 @@ from pyspark.sql import functions as F
 
 #: Words whose tokens are kept per Python worker; the results don't depend on it.
 CACHED_WORDS = 500_000
+#: Bytes of a chunk; characters after which an unfinished word is encoded as it comes.
+CHUNK, OPEN_WORD = 1 << 16, 1 << 12
+
+# The letters and numbers that Unicode 16.0 added to 15.1. The tokenizers library classifies by 16.0.
+ADDED = {
+    "L": "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3"
+    " 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0",
+    "N": "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa",
+}
 
 
 @cache
@@ -34,8 +44,24 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
-def _pattern(letters: str, digits: str, white: str) -> re.Pattern:
-    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{digits}]+| ?[^{white}{letters}{digits}]+|[{white}]+(?![^{white}])|[{white}]+")
+@cache
+def classes(top: int = sys.maxunicode) -> dict[str, str]:
+    """Letters, numbers and white space among the characters up to ``top``, as the inside of a bracket expression."""
+    added = {}
+    for kind, ranges in ADDED.items():
+        for r in ranges.split():
+            first, _, last = r.partition("-")
+            added |= dict.fromkeys(range(int(first, 16), int(last or first, 16) + 1), kind)
+    found: dict[str, list[str]] = {"L": [], "N": []}
+    kind, first = "", 0
+    for code in range(top + 2):
+        k = added.get(code) or unicodedata.category(chr(code))[0] if code <= top else ""
+        if k != kind:
+            if kind in found:
+                found[kind].append(f"\\U{first:08x}-\\U{code - 1:08x}")
+            kind, first = k, code
+    white = "\t-\r \x85\xa0" + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" * (top > 255)
+    return {"L": "".join(found["L"]), "N": "".join(found["N"]), "S": white}
 
 
 @cache
@@ -44,16 +70,15 @@ def word_pattern(top: int = sys.maxunicode) -> re.Pattern:
 
     Holds for texts of characters up to ``top``; the fewer character ranges, the faster it is.
     """
-    classes: dict[str, list[str]] = {"L": [], "N": []}
-    kind, first = "", 0
-    for code in range(top + 2):
-        k = unicodedata.category(chr(code))[0] if code <= top else ""
-        if k != kind:
-            if kind in classes:
-                classes[kind].append(f"\\U{first:08x}-\\U{code - 1:08x}")
-            kind, first = k, code
-    white = "\t-\r \x85\xa0" + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" * (top > 255)
-    return _pattern("".join(classes["L"]), "".join(classes["N"]), white)
+    letters, digits, white = classes(top).values()
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{digits}]+| ?[^{white}{letters}{digits}]+|[{white}]+(?![^{white}])|[{white}]+")
+
+
+@cache
+def run_patterns() -> dict[str, re.Pattern]:
+    """Runs of letters, numbers, white space, and (O) of all else."""
+    c = classes()
+    return {k: re.compile(f"[{v}]+") for k, v in c.items()} | {"O": re.compile(f"[^{''.join(c.values())}]+")}
 
 
 def split_words(text: str) -> list[str]:
@@ -213,44 +238,95 @@ class Codec:
                 self.words[word] = found
         return found
 
-    def _words(self, found: list[str]) -> list[int]:
+    def words_of(self, found: list[str]) -> list[int]:
         words, missing = self.words, self.word
         return list(chain.from_iterable([words[w] if w in words else missing(w) for w in found]))
 
     def encode(self, text: str) -> list[int]:
-        if self.specials is not None and self.specials.search(text):
-            out: list[int] = []
-            for part in self.specials.split(text):
-                if part:
-                    out += [self.m.special[part]] if part in self.m.special else self.encode(part)
-            return out
-        return self._words(split_words(text))
-
-    def encode_stream(self, chunks: Iterable[str]) -> Iterator[int]:
-        """Tokens of a text that comes in chunks; holds back the last three words and what could start a special token."""
-        keep = max(map(len, self.m.special), default=0)
-        rest = ""
+        return list(chain.from_iterable(self.encode_stream([text])))
+
+    def encode_stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
+        """Tokens of a text that comes in chunks, in parts as they become stable."""
+        encoder = TextTransducer(self)
         for c in chunks:
-            rest += c
-            if self.specials is not None:
-                while found := self.specials.search(rest):
-                    yield from self.encode(rest[: found.end()])
-                    rest = rest[found.end() :]
-            found, cut, limit = [], 0, len(rest) - keep
-            for w in split_words(rest)[:-3]:
-                if cut + len(w) > limit:
-                    break
-                found.append(w)
-                cut += len(w)
-            yield from self._words(found)
-            rest = rest[cut:]
-        yield from self.encode(rest)
+            yield from encoder.feed(c)
+        yield from encoder.finish()
 
     def decode(self, ids: Iterable[int]) -> str:
         d = Decoder(self)
         return d.feed(ids) + d.finish()
 
 
+class TextTransducer:
+    """Tokens of one text, fed in chunks.
+
+    Held back are what could begin a special token, the last word, and an apostrophe before it (it may become a
+    contraction). A long last word is open: its characters go to a transducer of its own as they come."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.specials = codec, codec.specials
+        self.keep = max(map(len, codec.m.special), default=1) - 1
+        self.rest, self.tail = "", ""
+        self.open: WordTransducer | None = None
+        self.kind, self.white = "", ""
+
+    def feed(self, chunk: str) -> Iterator[list[int]]:
+        self.rest += chunk
+        yield from self._until_special()
+        cut = len(self.rest) - self.keep
+        if cut > 0:
+            piece, self.rest = self.rest[:cut], self.rest[cut:]
+            yield from self._text(piece, False)
+
+    def finish(self) -> Iterator[list[int]]:
+        yield from self._until_special()
+        yield from self._text(self.rest, True)
+        self.rest = ""
+
+    def _until_special(self) -> Iterator[list[int]]:
+        while self.specials is not None and (found := self.specials.search(self.rest)):
+            yield from self._text(self.rest[: found.start()], True)
+            yield [self.codec.m.special[found[0]]]
+            self.rest = self.rest[found.end() :]
+
+    def _text(self, piece: str, last: bool) -> Iterator[list[int]]:
+        """Take more of a text without special tokens; ``last``: nothing follows."""
+        if self.open is not None:
+            run = run_patterns()[self.kind].match(piece)
+            end = run.end() if run else 0
+            yield from self._into_open(piece[:end])
+            if end == len(piece) and not last:
+                return
+            piece = piece[end:]
+            if self.kind == "S" and piece:  # the last white space before a word belongs to it or stands alone
+                piece = self.white + piece
+            elif self.white:
+                yield list(self.open.feed(self.white.encode()))
+            yield self.open.finish()
+            self.open, self.white = None, ""
+        words = split_words(self.tail + piece)
+        self.tail = ""
+        if not last and words:
+            held = words.pop()
+            if len(held) > OPEN_WORD:
+                yield self.codec.words_of(words)
+                self.kind = next(k for k, r in run_patterns().items() if r.match(held[-1]))
+                self.open = WordTransducer(self.codec.m, self.codec.lookahead)
+                yield from self._into_open(held)
+                return
+            if words and words[-1] == "'":
+                held = words.pop() + held
+            self.tail = held
+        yield self.codec.words_of(words)
+
+    def _into_open(self, piece: str) -> Iterator[list[int]]:
+        if self.kind == "S" and piece:
+            piece = self.white + piece
+            piece, self.white = piece[:-1], piece[-1]
+        for at in range(0, len(piece), CHUNK):
+            yield list(self.open.feed(piece[at : at + CHUNK].encode()))
+
+
 class Decoder:
     """Bytes to text, token by token; incomplete characters wait, invalid ones become U+FFFD."""
 
@@ -282,7 +358,7 @@ def _shared(docs: DataFrame, path: str):
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>) per row. Null text: as empty, no ids."""
+    """doc_id, ids (array<int>) per row. Null text: as empty, no ids. The ids of a row are held together, as a row is."""
     import pyarrow as pa
 
     model = _shared(docs, path)
@@ -312,10 +388,19 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
+def chunks_of(value, size: int = CHUNK) -> Iterator[str]:
+    """A string value of an Arrow column in pieces of about that many bytes (null: none), without a copy of the whole."""
+    data, state = memoryview(value.as_buffer() or b""), codecs.getincrementaldecoder("utf-8")()
+    for at in range(0, len(data), size):
+        yield state.decode(data[at : at + size])
+
+
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256: encodes, then decodes the ids.
 
-    One row per row, repeated rows included; null text as empty (no tokens); an empty table gives an empty result.
+    Each text streams through the encoder, its tokens through the decoder, and both into running digests. One row per
+    row, repeated rows included; null text as empty (no tokens); further columns are ignored; an empty table gives an
+    empty result.
     """
     import pyarrow as pa
 
@@ -323,12 +408,17 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         codec = codec_of(model.value)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             out = []
             for text in b.column(1):
-                ids = codec.encode(text.as_py() or "")
-                out.append((len(ids), sha(",".join(map(codec.names.__getitem__, ids))), sha(codec.decode(ids))))
+                n, ids_sha, text_sha, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(codec)
+                for ids in codec.encode_stream(chunks_of(text)):
+                    if ids:
+                        ids_sha.update(("," * (n > 0) + ",".join(map(codec.names.__getitem__, ids))).encode())
+                        text_sha.update(decoder.feed(ids).encode())
+                        n += len(ids)
+                text_sha.update(decoder.finish().encode())
+                out.append((n, ids_sha.hexdigest(), text_sha.hexdigest()))
             n, i, d = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -99,20 +100,61 @@ def test_bpe(make):
     assert bpe_round_trip(make([]), PATH).count() == 0
 
 
-def test_bpe_streams():
-    codec = codec_of(open(PATH).read())
+def test_bpe_streams(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from palimpsest.llm import bpe
+
+    monkeypatch.setattr(bpe, "OPEN_WORD", 20)
+    codec, lib = codec_of(open(PATH).read()), Tokenizer.from_file(PATH)
     rng = random.Random(6)
-    for text in [t for t in TEXTS if t] + ["".join(rng.choices("etaoin shr'\n<|>", k=6000)) for _ in range(5)]:
+    texts = [t for t in TEXTS if t] + ["".join(rng.choices("etaoin shr'\n<|>", k=6000)) for _ in range(5)]
+    texts += ["".join(rng.choice(["e", " ", "\n", "'ve", "7", "!", "<|endoftext|>", "漢"]) * rng.choice([1, 2, 30, 90]) for _ in range(200)) for _ in range(20)]
+    for text in texts:
         chunks, i = [], 0
         while i < len(text):
             k = rng.randint(1, 9)
             chunks.append(text[i : i + k])
             i += k
-        assert list(codec.encode_stream(chunks)) == codec.encode(text)
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert [x for part in codec.encode_stream(chunks) for x in part] == want == codec.encode(text)
     assert codec.decode([codec.m.ids[b"\xc3"], codec.m.ids[b"a"]]) == b"\xc3a".decode("utf-8", "replace")
     assert codec.m.sufficient_lookahead() >= codec.m.longest
 
 
+def test_bpe_splits_every_character_as_the_library():
+    from tokenizers import pre_tokenizers
+
+    from palimpsest.llm.bpe import split_words
+
+    lib = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(codes), 50_000):
+        text = "".join(f"a{chr(c)}1{chr(c)}!{chr(c)}\n\n" for c in codes[at : at + 50_000])
+        ends = [e for _, (_, e) in lib.pre_tokenize_str(text)]
+        own, n = [], 0
+        for w in split_words(text):
+            n += len(w)
+            own.append(n)
+        assert own == ends
+
+
+def test_bpe_memory_does_not_grow_with_the_text():
+    codec = codec_of(open(PATH).read())
+
+    def peak(pieces):
+        tracemalloc.start()
+        for _ in codec.encode_stream(f"ab{i % 7}" if mixed else "th" * 2000 for i in range(pieces)):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    for mixed, few in ((True, 30_000), (False, 50)):
+        peak(few)
+        assert peak(4 * few) < 1.5 * peak(few) + 100_000
+
+
 def test_pipeline(spark, make, corpus, tmp_path):
     import corpus_pipeline
     from tests.llm.test_dedup import brute_near
