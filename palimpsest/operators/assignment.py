@@ -2,7 +2,8 @@
 
 Edges below the threshold never help, so only edges at or above it come in, and connected parts of a group are solved
 one by one. Among matchings of the largest total of score - threshold, that with the largest total cosine wins, then that
-with the least total shift of positions.
+with the least total shift of positions. Each of the three is a problem of its own, over the edges that every solution of
+the former may use, so no sum of one can outweigh another, whatever the range of scores and positions.
 """
 
 from __future__ import annotations
@@ -10,22 +11,20 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-SCORE_UNITS, COSINE_UNITS, SHIFT_LIMIT = 10**6, 10**4, 10**4
+#: Scores are told apart to this share of the greatest of a part; cosines to this absolute step.
+SCORE_UNITS, COSINE_UNITS = 2**40, 10**9
 
 
-def solve(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of the maximum-weight matching of a dense matrix; pairs of weight 0 are left out.
+def _cheapest(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column of each row, reduced costs) of a cheapest perfect matching of a square integer matrix.
 
     Shortest augmenting paths with potentials, one row at a time."""
-    if weight.shape[0] > weight.shape[1]:
-        return sorted((i, j) for j, i in solve(weight.T))
-    n, m = weight.shape
-    cost = (weight.max() if weight.size else 0) - weight
-    u, v, owner = np.zeros(n + 1, cost.dtype), np.zeros(m + 1, cost.dtype), np.zeros(m + 1, np.int64)
-    big = np.iinfo(np.int64).max // 4 if np.issubdtype(cost.dtype, np.integer) else np.inf
+    n = len(cost)
+    u, v, owner = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    big = np.iinfo(np.int64).max // 4
     for i in range(1, n + 1):
         owner[0], at = i, 0
-        least, via, done = np.full(m + 1, big, cost.dtype), np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
+        least, via, done = np.full(n + 1, big), np.zeros(n + 1, np.int64), np.zeros(n + 1, bool)
         while True:
             done[at] = True
             row = owner[at]
@@ -44,14 +43,36 @@ def solve(weight: np.ndarray) -> list[tuple[int, int]]:
         while at:
             owner[at] = owner[via[at]]
             at = via[at]
-    return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j] and weight[owner[j] - 1, j - 1] > 0)
+    column = np.empty(n, np.int64)
+    column[owner[1:] - 1] = np.arange(n)
+    return column, cost - u[1:, None] - v[None, 1:]
+
+
+def solve(*weights: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of the matching with the largest total of the first integer matrix, among those of the second, and so on.
+
+    A cell of weight 0 in the first stands for no edge and is left out."""
+    n, m = weights[0].shape
+    size = max(n, m)
+    free, column = np.ones((size, size), bool), np.zeros(size, np.int64)
+    for w in weights:
+        full = np.zeros((size, size), np.int64)
+        full[:n, :m] = w
+        span = int(full.max()) - int(full.min())
+        closed = span if free.all() else span * size + 1
+        if closed * (size + 1) >= 2**61:
+            raise OverflowError("weights are too large to be added up exactly")
+        # an optimal matching uses cells of reduced cost 0 only, and any perfect matching of such cells is optimal
+        column, reduced = _cheapest(np.where(free, full.max() - full, closed))
+        free &= reduced == 0
+    return [(i, int(j)) for i, j in enumerate(column[:n]) if j < m and weights[0][i, j] > 0]
 
 
 def match_edges(left: np.ndarray, right: np.ndarray, score: np.ndarray, cosine: np.ndarray, shift: np.ndarray, least: float) -> np.ndarray:
-    """Which edges (left, right) belong to the best matching."""
-    weight = (np.rint((score - least) * SCORE_UNITS).astype(np.int64) + 1) * COSINE_UNITS * SHIFT_LIMIT
-    weight += np.rint(cosine * COSINE_UNITS).astype(np.int64).clip(0, COSINE_UNITS - 1) * SHIFT_LIMIT
-    weight += SHIFT_LIMIT - 1 - np.minimum(shift, SHIFT_LIMIT - 2).astype(np.int64)
+    """Which edges (left, right) belong to the best matching. Scores must be finite; edges are distinct."""
+    if not (np.isfinite(score).all() and np.isfinite(cosine).all()):
+        raise ValueError("scores and cosines must be finite")
+    shift = shift.astype(np.int64)
     ln, li = np.unique(left, return_inverse=True)
     rn, ri = np.unique(right, return_inverse=True)
     part = np.arange(len(ln) + len(rn))
@@ -71,9 +92,16 @@ def match_edges(left: np.ndarray, right: np.ndarray, score: np.ndarray, cosine:
             continue
         a, ai = np.unique(li[edges], return_inverse=True)
         b, bi = np.unique(ri[edges], return_inverse=True)
-        matrix = np.zeros((len(a), len(b)), np.int64)
-        matrix[ai, bi] = weight[edges]
-        chosen = set(solve(matrix))
+        gain = np.maximum(score[edges] - least, 0)
+        tiers = [
+            np.rint(gain / (gain.max() or 1) * SCORE_UNITS).astype(np.int64) + 1,
+            np.rint(cosine[edges] * COSINE_UNITS).astype(np.int64),
+            1 + shift[edges].max() - shift[edges],
+        ]
+        matrices = [np.zeros((len(a), len(b)), np.int64) for _ in tiers]
+        for matrix, values in zip(matrices, tiers, strict=True):
+            matrix[ai, bi] = values
+        chosen = set(solve(*matrices))
         keep[edges] = [(x, y) in chosen for x, y in zip(ai.tolist(), bi.tolist(), strict=True)]
     return keep
 

@@ -125,6 +125,38 @@ def test_solver(seed):
     assert sum(w[i, j] for i, j in pairs) == best and len({i for i, _ in pairs}) == len(pairs) == len({j for _, j in pairs})
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e9, 1e12])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_matching_at_any_scale(scale, seed):
+    """Against every one-to-one assignment: largest total score, then cosine, then least shift, at positions up to 20,000."""
+    import itertools
+
+    rng = np.random.default_rng(seed)
+    n = 5
+    left, right = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+    score, cosine = rng.integers(1, 4, n * n) * scale, rng.integers(0, 3, n * n) / 4
+    shift = rng.integers(0, 20_000, n * n)
+    value = lambda edges: (score[edges].sum(), cosine[edges].sum(), -int(shift[edges].sum()))
+    best = max(value([i * n + j for i, j in enumerate(p)]) for p in itertools.permutations(range(n)))
+    keep = match_edges(left, right, score, cosine, shift, 0.0)
+    assert keep.sum() == n and value(np.flatnonzero(keep)) == best
+
+
+def test_far_positions_decide_ties():
+    left, right = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
+    keep = match_edges(left, right, np.ones(4), np.full(4, 0.5), np.array([15_000, 15_001, 15_002, 15_002]), 0.75)
+    assert keep.tolist() == [True, False, False, True]
+
+
+def test_hungarian_keeps_large_scores(spark):
+    from palimpsest.operators.assignment import hungarian
+
+    rows = [("k", i, j, 1e5 * (1 + (3 * i + 5 * j) % 7)) for i in range(12) for j in range(12)]
+    out = hungarian(spark.createDataFrame(rows, "k string, i long, j long, score double"), ["k"]).collect()
+    assert len(out) == 12 and len({r["i"] for r in out}) == len({r["j"] for r in out}) == 12
+
+
+
 def test_ties_go_to_cosine_then_shift():
     left, right = np.array(["a", "a", "b", "b"]), np.array(["x", "y", "x", "y"])
     keep = match_edges(left, right, np.ones(4), np.array([0.5, 0.9, 0.9, 0.5]), np.zeros(4), 0.75)
