@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import HOT_SHARE
+
 #: Rates above this are drawn as a sum of equal parts, so exp(-rate) stays far from underflow.
 PART_RATE = 32.0
-#: Up to so many sources the table of their rates is broadcast (a few kB each); beyond, rows are dealt by source.
-BROADCAST_SOURCES = 5000
+#: Rows of an output partition, at most about.
+PART_ROWS = 100_000
 
 
 def hashed(seed: int, *parts: Column) -> Column:
@@ -28,6 +32,14 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["c"])
 
 
+def free_name(stem: str, taken: list[str]) -> str:
+    """``stem`` with as many underscores before it as make it differ from all names in ``taken``, in either case."""
+    taken = [t.lower() for t in taken]
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem
+
+
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 20, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Repeat or leave out rows so that sources come in the given proportions; the columns of ``docs`` plus
     mix_rate, mix_copies, mix_copy (from 1) and mix_key, ordered by mix_key.
@@ -36,35 +48,44 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     the Poisson distribution at a uniform number hashed from the seed and its id, so a rerun or a lost executor
     gives the same rows. ``weights`` None: all sources weigh the same; a source without a weight gets none of the
     rows. A null source is a source of its own (key None). ``total`` None: as many as the input, on average. Equal
-    ids draw equal counts. Empty in, empty out.
+    ids draw equal counts, and so do all rows without an id. Columns of ``docs`` named mix_rate, mix_copies, mix_copy or
+    mix_key give way to the new ones; any other names may occur. Empty in, empty out.
     """
-    taken = {"mix_rate", "mix_copies", "mix_copy", "mix_key"} & set(docs.columns)
-    if taken:
-        docs = docs.drop(*taken)
-    counts = docs.groupBy(F.col(source_col).alias("_src")).agg(F.count(F.lit(1)).alias("_n"))
+    docs = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key")
+    plan_name = free_name("plan", docs.columns)
+    counts = docs.groupBy(F.col(source_col).alias("src")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weight = F.lit(1.0)
     else:
         weight = F.lit(0.0)
         for name, w in weights.items():
-            weight = F.when(F.col("_src").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    counts = counts.withColumn("_w", weight)
-    sums = counts.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n"))
+            weight = F.when(F.col("src").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
+    counts = counts.withColumn("w", weight)
+    sums = counts.agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
     goal = F.lit(float(total)) if total is not None else sums.select("n").scalar().cast("double")
-    rate = F.when(F.col("_w") > 0, goal * F.col("_w") / sums.select("w").scalar() / F.col("_n")).otherwise(F.lit(0.0))
-    plan = counts.withColumn("_rate", rate).withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / PART_RATE)).cast("int"))
-    plan = plan.select("_src", "_rate", "_parts", poisson_cdf(F.col("_rate") / F.col("_parts")).alias("_cdf")).where("_rate > 0")
-
-    if counts.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
+    rate = F.when(F.col("w") > 0, goal * F.col("w") / sums.select("w").scalar() / F.col("n")).otherwise(F.lit(0.0))
+    rates = counts.select("src", "n", rate.alias("rate")).where("rate > 0").withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("int"))
+    plan = rates.select("n", F.struct("src", "rate", "parts", poisson_cdf(F.col("rate") / F.col("parts")).alias("cdf")).alias(plan_name))
+    src = F.col(plan_name)["src"]
 
     def draw(acc: Column, j: Column) -> Column:
         u = (hashed(seed, F.col(id_col), j) + F.lit(0.5)) / F.lit(float(1 << 48))
-        return acc + F.size(F.filter(F.col("_cdf"), lambda c: c < u))
+        return acc + F.size(F.filter(F.col(plan_name)["cdf"], lambda c: c < u))
 
-    rows = docs.join(plan, F.col(source_col).eqNullSafe(F.col("_src")), "inner")
-    rows = rows.withColumn("mix_copies", F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), draw)).where("mix_copies > 0")
-    rows = rows.withColumn("mix_rate", F.col("_rate")).drop("_src", "_rate", "_parts", "_cdf")
+    # hot sources, more than one row in HOT_SHARE, are at most HOT_SHARE: their plans are broadcast; the rest goes by source
+    sizes = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).first()
+    limit = (sizes["n"] or 0) // HOT_SHARE if sizes["m"] > HOT_SHARE else 0
+    marked = docs.join(F.broadcast(plan.where(F.col("n") > limit).select(plan_name)), F.col(source_col).eqNullSafe(src), "left")
+    rows = marked.where(F.col(plan_name).isNotNull())
+    if limit:
+        rest = marked.where(F.col(plan_name).isNull()).drop(plan_name)
+        rows = rows.unionByName(rest.join(plan.where(F.col("n") <= limit).select(plan_name), F.col(source_col).eqNullSafe(src)))
+    rows = rows.withColumn("mix_copies", F.aggregate(F.sequence(F.lit(1), F.col(plan_name)["parts"]), F.lit(0), draw)).where("mix_copies > 0")
+    rows = rows.withColumn("mix_rate", F.col(plan_name)["rate"]).drop(plan_name)
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     rows = rows.withColumn("mix_key", hashed(seed + 1, F.col(id_col), F.col("mix_copy")))
-    return rows.orderBy("mix_key", id_col, "mix_copy")
+    # keys are uniform over 48 bits, so equal ranges of keys are parts of equal size: a total order without a pass that samples
+    wanted = float(total) if total is not None else float(sizes["n"] or 0)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(wanted / PART_ROWS))
+    part = F.floor(F.col("mix_key") / F.lit(float(1 << 48)) * F.lit(parts)).cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions("mix_key", id_col, "mix_copy")

@@ -1,18 +1,16 @@
 """Secret scans: patterns for known forms, and character Markov models for the rest.
 
 Two Markov chains of order 2 over the characters of tokens are trained from labelled samples, one from random strings and
-one from ordinary identifiers. A token is reported where the log-likelihood ratio, in all and per character, exceeds
-thresholds set on a held-out part of the samples.
+one from ordinary identifiers. Of each run of token characters the part with the greatest sum of log-likelihood ratios is
+judged, so a key within a path or dotted name counts by itself; it is reported, up to the next separators, where that
+sum, and the mean per character, exceeds thresholds set on a held-out part of the samples.
 """
 
 from __future__ import annotations
 
 import base64
-import builtins
-import keyword
 import random
 import re
-import sys
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,11 +25,28 @@ KINDS = ("assign", "access", "hex", "markov")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Shortest token that the models judge.
 LEAST = 16
-#: Most documents and words of the corpus that serve as further ordinary samples.
-SAMPLE_DOCS, SAMPLE_WORDS = 300, 20_000
+#: Most documents of the corpus, the longest of them in bytes, and most words, that serve as further ordinary samples.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WORDS = 1000, 1 << 16, 20_000
+
+# Parts of ordinary identifiers, from which labelled samples are joined.
+PARTS = """
+    access account action active address admin agent alert api app archive array async auth backup base batch begin block
+    body buffer build button byte cache call callback cancel cell channel char check child class clean clear client clock
+    close cloud cluster code collect color column command comment commit config connect console content context control
+    convert copy core count create current cursor data date debug decode default delete depth device dialog digest
+    directory disk display document domain download driver dump edit element email enable encode engine entry error event
+    export extend factory fetch field file filter find flag float folder format frame function gateway generate global
+    graph group handle hash header height helper history host html image import index info init input insert instance
+    integer item iterator join json kernel keyword label language layout length level library limit line link list load
+    local lock logger login manager map mask master match matrix member memory menu merge message meta method metric
+    minimum mode model module monitor mount name network node normal notify null number object offset open option order
+    output owner package packet page panel param parent parse
+""".split()
 
 _CODE = np.full(256, -1, np.int16)
 _CODE[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[[ord(c) for c in "+/_.=-"]] = True
 _HEX = np.zeros(256, bool)
 _HEX[[ord(c) for c in "0123456789abcdef"]] = True
 
@@ -39,7 +54,6 @@ _HEX[[ord(c) for c in "0123456789abcdef"]] = True
 def labelled_samples(seed: int = 7, n: int = 12000) -> list[tuple[str, int]]:
     """(token, 1 if random): generated keys of usual alphabets, and names joined the usual ways."""
     rng = random.Random(seed)
-    names = sorted({w for x in [*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(np)] for w in re.findall(r"[A-Za-z]{3,}", x)})
     out = []
     for _ in range(n):
         size = rng.randint(LEAST, 64)
@@ -55,8 +69,8 @@ def labelled_samples(seed: int = 7, n: int = 12000) -> list[tuple[str, int]]:
         else:
             token = "".join(rng.choices(SYMBOLS[:62], k=size))
         out.append((token, 1))
-        words = rng.choices(names, k=rng.randint(3, 6))
-        style = rng.randrange(6)
+        words = rng.choices(PARTS, k=rng.randint(3, 6))
+        style = rng.randrange(7)
         if style == 0:
             token = "_".join(words)
         elif style == 1:
@@ -67,20 +81,33 @@ def labelled_samples(seed: int = 7, n: int = 12000) -> list[tuple[str, int]]:
             token = rng.choice("-./").join(words).lower()
         elif style == 4:
             token = f"{words[0]}-{words[1]}-{rng.randint(0, 40)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}-20{rng.randint(10, 29)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"
-        else:
+        elif style == 5:
             token = "".join(words).lower()
+        else:
+            token = rng.choice(SYMBOLS) * size  # rules and fillers
         out.append((token, 0))
     return out
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[str]:
-    """Ordinary samples from the corpus: long alphabetic words of at most SAMPLE_DOCS documents, taken by the order of
-    a hash of the id. Training samples only; every text is scanned whole."""
-    rows = hashed_sample(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col), id_col, SAMPLE_DOCS)
-    rows = rows.select(F.expr(f"regexp_extract_all({text_col}, '[A-Za-z]{{8,}}', 0)").alias("w")).collect()
-    words = sorted({w for r in rows for w in r["w"]})
-    random.Random(1).shuffle(words)
-    return words[:SAMPLE_WORDS]
+    """Ordinary samples from the corpus: alphabetic words of 8 to 64 letters that at least two of at most SAMPLE_DOCS
+    documents have, taken by the order of a hash of the id. A secret that stands in one document is none of them.
+    Training samples only; every text is scanned whole."""
+    rows = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    words = hashed_sample(rows, "id", SAMPLE_DOCS).select("id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(t, '\\b[A-Za-z]{8,64}\\b', 0)"))).alias("w"))
+    usual = words.groupBy("w").agg(F.countDistinct("id").alias("n")).where("n > 1")
+    return sorted(r["w"] for r in usual.orderBy(F.xxhash64("w")).limit(SAMPLE_WORDS).collect())
+
+
+def best_part(upto: np.ndarray, start: int, stop: int) -> tuple[int, int]:
+    """The part of start:stop, of at least LEAST places if there are as many, with the greatest sum; of equal ones the first
+    to end, and of these the longest. ``upto[i]`` is the sum before place i."""
+    least = min(LEAST, stop - start)
+    lowest = np.minimum.accumulate(upto[start : stop - least + 1])
+    gain = upto[start + least : stop + 1] - lowest
+    end = int(gain.argmax())
+    begin = int(upto[start : start + end + 1].argmin())
+    return start + begin, start + least + end
 
 
 class MarkovPair:
@@ -102,15 +129,21 @@ class MarkovPair:
                 p = (c + lean * p / p.sum(-1, keepdims=True)) / (c.sum(-1, keepdims=True) + lean)
             log_p.append(np.log(p).reshape(-1, k))
         self.table = (log_p[1] - log_p[0]).astype(np.float32)
-        score = lambda y: np.array([self.score(t) for t, label in rest if label == y] or [0.0])
-        mean = lambda y: np.array([self.score(t) / len(t) for t, label in rest if label == y] or [0.0])
-        self.least_sum = float(max(6.0, np.quantile(score(0), 0.999)))
-        self.least_mean = float(max(0.35, np.quantile(mean(0), 0.999)))
-        self.caught = float(((score(1) > self.least_sum) & (mean(1) > self.least_mean)).mean())
+        found = [[self.best(t) for t, label in rest if label == y] or [(0.0, 1)] for y in (0, 1)]
+        sums, means = (np.array([f(x, n) for x, n in found[0]]) for f in (lambda x, n: x, lambda x, n: x / n))
+        self.least_sum = float(max(6.0, np.quantile(sums, 0.999)))
+        self.least_mean = float(max(0.35, np.quantile(means[sums > 0.5 * self.least_sum], 0.9) if (sums > 0.5 * self.least_sum).any() else 0))
+        self.caught = float(np.mean([self.random(x, n) for x, n in found[1]]))
+
+    def random(self, total: float, size: int) -> bool:
+        return total > self.least_sum and total > self.least_mean * size
 
-    def score(self, token: str) -> float:
+    def best(self, token: str) -> tuple[float, int]:
+        """(sum of ratios, characters) of the best part of a token."""
         data = np.frombuffer(token.encode(), np.uint8)
-        return float(self.ratios(data, np.zeros(1, np.int64)).sum())
+        upto = np.concatenate([[0], np.cumsum(self.ratios(data, np.zeros(1, np.int64)), dtype=np.float64)])
+        a, b = best_part(upto, 0, len(data))
+        return float(upto[b] - upto[a]), b - a
 
     def ratios(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The ratio at every byte; a token that begins at one of ``starts`` has no characters before it."""
@@ -151,7 +184,7 @@ def find_secrets(docs: DataFrame, model: MarkovPair, id_col: str = "doc_id", tex
     """doc_id, spans: array of (kind, start, end, score), by start and kind; offsets in characters, end exclusive.
 
     One row per row. Null and empty texts have no spans; repeated rows are scanned each; columns besides the two are
-    ignored; an empty table gives an empty result. Kinds assign, access and hex come from patterns (score null); markov
+    ignored; an empty table gives an empty result. A text takes some 40 bytes of memory a byte while it is scanned. Kinds assign, access and hex come from patterns (score null); markov
     spans are tokens the models call random and that touch no other span.
     """
     import pyarrow as pa
@@ -166,16 +199,25 @@ def find_secrets(docs: DataFrame, model: MarkovPair, id_col: str = "doc_id", tex
                 found[i] = [(s, k, e, None) for s, k, e in base_spans(t, i in hexed)]
         starts, stops, at = runs_of(_CODE[data] >= 0, ends, LEAST)
         if len(starts):
-            total = np.concatenate([[0], np.cumsum(model.ratios(data, starts), dtype=np.float64)])
-            score = total[stops] - total[starts]
-            hit = (score > model.least_sum) & (score > model.least_mean * (stops - starts))
-            if hit.any():
+            r = model.ratios(data, starts)
+            upto = np.concatenate([[0], np.cumsum(r, dtype=np.float64)])
+            most = np.concatenate([[0], np.cumsum(np.maximum(r, 0), dtype=np.float64)])
+            maybe = np.flatnonzero(most[stops] - most[starts] > model.least_sum)
+            if len(maybe):
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 first = chars[np.concatenate([[0], ends[:-1]])]
-                for s, e, i, x in zip(starts[hit], stops[hit], at[hit], score[hit], strict=True):
-                    a, b = int(chars[s] - first[i]), int(chars[e] - first[i])
-                    if all(b <= y[0] or y[2] <= a for y in found[i]):
-                        found[i].append((a, 3, b, float(x)))
+                for s, e, i in zip(starts[maybe].tolist(), stops[maybe].tolist(), at[maybe].tolist(), strict=True):
+                    x, y = best_part(upto, s, e)
+                    score = float(upto[y] - upto[x])
+                    if not model.random(score, y - x):
+                        continue
+                    while x > s and not _SEPARATOR[data[x - 1]]:
+                        x -= 1
+                    while y < e and not _SEPARATOR[data[y]]:
+                        y += 1
+                    a, b = int(chars[x] - first[i]), int(chars[y] - first[i])
+                    if all(b <= z[0] or z[2] <= a for z in found[i]):
+                        found[i].append((a, 3, b, score))
         return [[{"kind": KINDS[k], "start": s, "end": e, "score": x} for s, k, e, x in sorted(f, key=lambda y: y[:2])] for f in found]
 
     def run(batches):

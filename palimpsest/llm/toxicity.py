@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import hashed_sample, held_out, mix64, runs_of, slices, words_of
 from palimpsest.llm.gru import Adam, BiGRU, one_thread
 
-#: Most labelled documents per label that the network learns from, by the order of a hash of the id.
-TRAIN_POSITIVE, TRAIN_NEGATIVE = 900, 2400
+#: Most labelled documents per label that the network learns from, by the order of a hash of the id, and the longest text
+#: (in bytes) among them, so at most 105 MB come to the driver.
+TRAIN_POSITIVE, TRAIN_NEGATIVE, TRAIN_BYTES = 900, 2400, 1 << 15
 HIDDEN, EMBED = 12, 12
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 24
@@ -75,7 +76,7 @@ class WindowScorer:
         self.att = (rng.standard_normal((2 * k, 1)) * 0.3).astype(np.float32)
         self.out = (rng.standard_normal((2 * k, 1)) * 0.3).astype(np.float32)
         self.bias = np.full((1, 1), -4.0, np.float32)
-        self.empty = 0.0
+        self.constant: float | None = 0.0  # the score of all texts where there was nothing to tell apart
 
     def embed(self, words, grams, g_first):
         size = np.diff(np.append(g_first, len(grams)))
@@ -132,8 +133,9 @@ class WindowScorer:
         rng, k = np.random.default_rng(seed), HIDDEN
         use = [i for i, t in enumerate(texts) if t]
         y = np.array(y, np.float32)
-        self.empty = float(y.mean()) if len(y) else 0.0
-        if not use:
+        seen = set(y[use].tolist())
+        self.constant = None if len(seen) > 1 else max(seen, default=0.0)
+        if self.constant is not None:
             return
         epochs = max(epochs, min(40, 5000 // len(use)))
         adam, total = Adam([self.word, self.gram, self.into, self.gru.u, self.att, self.out, self.bias], 0.01), epochs * -(-len(use) // docs)
@@ -182,14 +184,18 @@ class WindowScorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> WindowScorer:
-    """Learn from at most TRAIN_POSITIVE and TRAIN_NEGATIVE labelled documents outside the held-out fold."""
-    labels = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    kept = None
+    """Learn from at most TRAIN_POSITIVE and TRAIN_NEGATIVE labelled rows outside the held-out fold, of TRAIN_BYTES at most.
+
+    Of ids that occur more than once the rows count one by one, within the same bounds. Labels other than 0 and 1 are
+    left out."""
+    labels = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    short = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.octet_length("_t") <= TRAIN_BYTES)
+    rows = []
     for y, most in ((1, TRAIN_POSITIVE), (0, TRAIN_NEGATIVE)):
         part = hashed_sample(labels.where(F.col("_y") == y), "_id", most)
-        kept = part if kept is None else kept.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(kept), "_id")  # at most TRAIN_POSITIVE + TRAIN_NEGATIVE rows
-    rows = sorted((r["_h"], r["_t"] or "", r["_y"]) for r in rows.collect())
+        found = short.join(F.broadcast(part), "_id")  # at most ``most`` rows
+        rows += [(r["_h"], r["_t"], y) for r in found.orderBy("_h", "_t").limit(most).collect()]
+    rows.sort()
     model = WindowScorer()
     with one_thread():
         model.fit([t.encode() for _, t, _ in rows], [y for _, _, y in rows])
@@ -199,8 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_toxicity(docs: DataFrame, model: WindowScorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) per row, over every window of the whole text.
 
-    Texts that are null or without letters get 0. Repeated rows get equal scores, columns besides the two are never
-    read, an empty table gives an empty result.
+    Texts that are null or without letters get 0. Where no row was labelled every score is 0, and where all labels were
+    equal it is that label. Repeated rows get equal scores, columns besides the two are never read, an empty table
+    gives an empty result. A text takes some 100 bytes of memory a word while it is scored.
     """
     import pyarrow as pa
 
@@ -208,6 +215,9 @@ def score_toxicity(docs: DataFrame, model: WindowScorer, id_col: str = "doc_id",
         for b in batches:
             scores = []
             for _, _, data, ends in slices(b.column(1)):
+                if model.constant is not None:
+                    scores.append(np.full(len(ends), model.constant))
+                    continue
                 logits = model.logits(data, ends) if len(data) else np.full(len(ends), -np.inf)
                 scores.append(np.where(np.isfinite(logits), 1 / (1 + np.exp(-np.clip(logits, -700, 700))), 0.0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([*scores, np.zeros(0)]))], ["doc_id", "score"])

@@ -175,3 +175,33 @@ def test_ann_ranks_every_row_that_the_codes_leave_open():
     got = ann.nearest_exact(q, np.sqrt(d), error, ids, x, 10)
     assert all(r.tolist() == b for (r, _), b in zip(got, best.tolist(), strict=True))
     assert all(np.abs(s - e[r]).max() < 1e-12 for (r, s), e in zip(got, exact, strict=True))
+
+
+def test_secret_in_a_longer_run(make):
+    """A key counts by itself where it is part of a path or a dotted name; the samples don't depend on installed modules."""
+    rng = np.random.default_rng(4)
+    model = secret_scan.train()
+    key = lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 32))
+    rows, want = [], {}
+    for i in range(100):
+        k, lead = key(), ("https://www.example.com/callback/session/", "module.config.default.", "")[i % 3]
+        rows.append((i, f"open {lead}{k} now"))
+        want[i] = (5 + len(lead), 5 + len(lead) + 32)
+    rows += [(100 + i, t) for i, t in enumerate(["https://www.example.com/callback/session/default/element/index.html", "get_user_by_identifier_name", "a" * 64, "-" * 40 + "=" * 40])]
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"] if x["kind"] == "markov"] for r in secret_scan.find_secrets(make(rows), model).collect()}
+    assert np.mean([found[i] == [w] for i, w in want.items()]) > 0.9
+    assert all(found[i] == [] for i in range(100, 104))
+
+
+def test_training_samples_are_bounded(spark, make, monkeypatch):
+    """Repeated ids and long texts don't add to what comes to the driver; without two labels the score is constant."""
+    seen = []
+    monkeypatch.setattr(toxicity.WindowScorer, "fit", lambda self, texts, y: seen.append((len(texts), max(map(len, texts), default=0))))
+    monkeypatch.setattr(toxicity, "TRAIN_POSITIVE", 5)
+    docs = make([(1, f"word{i % 7}") for i in range(50)] + [(3, "x" * 40000), (4, "a b")])
+    toxicity.train(docs, spark.createDataFrame([(1, 1), (3, 1), (4, 0), (4, 7), (None, 1)], "doc_id long, toxic int"))
+    assert seen == [(6, 5)]
+    monkeypatch.undo()
+    for labels, score in (([], 0.0), ([(4, 0)], 0.0), ([(4, 1)], 1.0)):
+        model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert {r["score"] for r in toxicity.score_toxicity(docs, model).collect()} == {score}

@@ -77,6 +77,24 @@ def test_mixing(make):
     assert poisson_mix(make([])).count() == 0
 
 
+def test_mixing_edges(spark):
+    rows = [(i if i % 10 else None, "t", f"s{i % 2}", "x", "x", "x") for i in range(400)] + [(7, "t", "s1", "x", "x", "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, plan string, _plan string, mix_key string")
+    for extra in (("plan", "_plan"), ("_src", "src"), ("_cdf", "cdf"), ("rate", "_rate")):
+        named = docs.withColumnsRenamed(dict(zip(("plan", "_plan"), extra)))
+        out = poisson_mix(named, seed=4)
+        assert set(out.columns) == {*named.columns, "mix_rate", "mix_copies", "mix_copy"}
+        found = out.collect()
+        assert {r[extra[0]] for r in found} == {"x"} and all(isinstance(r["mix_key"], int) for r in found)
+    copies = Counter(r["doc_id"] for r in found)
+    assert copies[7] % 3 == 0 and copies[None] % 40 == 0  # equal ids, and rows without one, draw equal counts
+    # many sources: those that are not hot are dealt by source
+    wide = spark.range(4000).selectExpr("id as doc_id", "'t' as text", "case when id < 1200 then 'hot' else cast(id as string) end as source")
+    plain = poisson_mix(wide, seed=4).groupBy("source").agg(F.min("mix_rate").alias("r"), F.count("*").alias("n")).collect()
+    assert {round(r["r"], 6) for r in plain if r["source"] == "hot"} == {round(4000 / 2801 / 1200, 6)}
+    assert abs(sum(r["n"] for r in plain) - 4000) < 300
+
+
 TEXTS = ["", None, "Hello  world's 12²\n\n \tx", "<|endoftext|>a<|endoftext|>", "漢字🙂 é  b", "a" * 3000, "ththe" * 800, " \x85\xa0 \n", "we'll they've I'm 'tis"]
 
 
