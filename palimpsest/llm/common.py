@@ -36,8 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIRS[app]}"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path in the shared folder that the innermost ``scratch`` (``keep``: the one around it) owns, if there is one."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for own in _SCRATCH[: len(_SCRATCH) - keep][-1:]:
+        own.append(path)
+    return path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -49,7 +53,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside are deleted on leaving, but for those staged with ``keep``, which the enclosing scratch owns."""
+    """Paths taken inside are deleted on leaving, but for those taken with ``keep``."""
     _SCRATCH.append([])
     try:
         yield
@@ -62,10 +66,8 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
     Outside of any ``scratch`` the table stays, as results that haven't run yet read it; the folder's owner clears it."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name, keep)
     df.write.parquet(path)
-    for own in _SCRATCH[: len(_SCRATCH) - keep][-1:]:
-        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

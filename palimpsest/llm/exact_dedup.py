@@ -1,8 +1,10 @@
 """Exact dedup with a log-structured merge index of text digests. DataFrame operations only.
 
-* A scan task is a memtable: it flushes one run of (digest, id), sorted by digest, with a Parquet Bloom filter on
-  the digest.
-* Compaction merges runs: one row per digest with the identifier that stays and the number of rows.
+* Rows go into MEMTABLES memtables by scan task. A memtable is flushed as a run: one entry (digest, id that stays, rows) per
+  digest, sorted by digest, with Parquet Bloom filters for point lookups and a bitmap of a bounded number of bits.
+* Compaction merges the runs of a level into one run of the next. An entry that is in no other run's bitmap is in no other
+  run: it passes as it is. Only the others are dealt by digest and merged, keeping the smallest (largest) id. A level that
+  has gathered FANOUT runs is compacted; reading compacts what is left.
 * Digests with more than one row are hits. A bitmap of a bounded number of bits over the hits keeps the text of other
   rows from moving; texts of hits are then compared byte by byte (smallest against largest text of a digest, a
   partial aggregate, so a hot group is combined before it is shuffled). Rows of a digest that holds different texts
@@ -12,71 +14,123 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import new_path
+from palimpsest.llm.common import join_counted, new_path
 
-#: Most bits of the filter over hits: 1 MB, whatever the input.
+#: Most bits of a bitmap over digests: 1 MB, whatever the input.
 MAX_FILTER_BITS = 1 << 23
+#: Runs that one insert flushes; runs of a level that are merged into one of the next.
+MEMTABLES, FANOUT = 8, 16
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def filter_bits(n: int) -> int:
+    """Bits of a bitmap over n digests: 16 or more for each, as long as the bound allows it."""
+    return min(MAX_FILTER_BITS, 1 << max(13, ceil(log2(16 * n + 1))))
+
+
+def _word(value: Column, bits: int) -> tuple[Column, Column]:
+    """(which word of a bitmap, which bit of the word) stand for a value."""
+    slot = F.pmod(F.xxhash64(value), F.lit(bits)).cast("int")
+    return F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")
+
+
+def bitmaps(rows: DataFrame, value: str, bits: int, *by: str) -> DataFrame:
+    """(by, bitmap array<long>): the bits of the values of each group. Words without a bit are there, as 0."""
+    w, bit = _word(F.col(value), bits)
+    words = rows.select(*by, w.cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+    groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
+    blank = groups.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bits // 64 - 1).cast("long"))).alias("w"), F.lit(0).cast("long").alias("b"))
+    words = words.unionByName(blank).groupBy(*by, "w").agg(F.bit_or("b").alias("b"))
+    return words.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bitmap"))
+
+
+def has_bit(bitmap: Column, value: Column, bits: int) -> Column:
+    w, bit = _word(value, bits)
+    return F.call_function("shiftrightunsigned", F.element_at(bitmap, w + 1), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 class DigestIndex:
-    """Runs of level 0 hold (digest, id) rows; runs of level 1 hold (digest, keep_id, n)."""
+    """Rows (doc_id, digest) as they came, and levels of runs of entries (digest, keep_id, n)."""
 
-    def __init__(self, spark: SparkSession, keep: str = "min", digest: Callable[[Column], Column] = sha256, fanout: int = 8):
+    def __init__(self, spark: SparkSession, keep: str = "min", digest: Callable[[Column], Column] = sha256, fanout: int = FANOUT):
         if keep not in ("min", "max"):
             raise ValueError("keep is 'min' or 'max'")
-        self.spark, self.keep, self.digest, self.fanout = spark, keep, digest, fanout
-        self.levels: list[list[str]] = [[], []]
-        self.flushed: list[str] = []
+        self.spark, self.digest, self.fanout = spark, digest, fanout
+        self.best = F.min if keep == "min" else F.max
+        self.logs: list[DataFrame] = []
+        self.levels: list[list[DataFrame]] = [[]]
 
-    def _write(self, df: DataFrame, name: str) -> str:
+    def _write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         path = new_path(self.spark, name)
         (
-            df.sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
+            df.sortWithinPartitions(*by, "digest")
+            .write.partitionBy(*by)
+            .option("parquet.bloom.filter.enabled#digest", "true")
             .option("parquet.bloom.filter.expected.ndv#digest", "100000")
             .parquet(path)
         )
-        return path
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def insert(self, docs: DataFrame) -> None:
-        """Flush one run per scan task of ``docs`` (doc_id, text); compact once ``fanout`` batches have gathered."""
-        path = self._write(docs.select("doc_id", self.digest(F.col("text")).alias("digest")), "lsm-l0")
-        self.levels[0].append(path)
-        self.flushed.append(path)
-        if len(self.levels[0]) >= self.fanout:
-            self.compact()
+        """Flush the memtables of a batch ``docs`` (doc_id, text) as runs of level 0."""
+        path = new_path(self.spark, "lsm-log")
+        rows = docs.select("doc_id", self.digest(F.col("text")).alias("digest"), F.pmod(F.spark_partition_id(), F.lit(MEMTABLES)).alias("run"))
+        rows.write.parquet(path)
+        log = self.spark.read.schema(rows.schema).parquet(path)
+        self.logs.append(log.select("doc_id", "digest"))
+        runs = self._write(log.groupBy("run", "digest").agg(self.best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "lsm-l0", "run")
+        present = sorted(r["run"] for r in runs.select("run").distinct().collect())  # MEMTABLES rows at most
+        self.levels[0] += [runs.where(F.col("run") == r).drop("run") for r in present]
+        level = 0
+        while len(self.levels[level]) >= self.fanout:
+            self._compact(level)
+            level += 1
 
     def rows(self) -> DataFrame:
-        """Every (doc_id, digest) flushed so far."""
-        return self.spark.read.parquet(*self.flushed)
-
-    def compact(self) -> None:
-        """Merge all runs into one run of level 1."""
-        best = F.min if self.keep == "min" else F.max
-        parts = []
-        if self.levels[0]:
-            parts.append(self.spark.read.parquet(*self.levels[0]).select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")))
-        if self.levels[1]:
-            parts.append(self.spark.read.parquet(*self.levels[1]))
-        if not self.levels[0] or not parts:
-            return
-        merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        merged = merged.groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        self.levels = [[], [self._write(merged, "lsm-l1")]]
+        """Every (doc_id, digest) inserted so far."""
+        return reduce(DataFrame.unionByName, self.logs)
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        tagged = reduce(DataFrame.unionByName, [r.withColumn("run", F.lit(i)) for i, r in enumerate(runs)])
+        sizes = dict(tagged.groupBy("run").count().collect())  # a row per run
+        bits = filter_bits(max(sizes.values(), default=0))
+        if bits < 4 * max(sizes.values(), default=0):  # bitmaps of bounded size would be full of ones
+            shared = tagged
+            alone = tagged.limit(0)
+        else:
+            filters = bitmaps(tagged, "digest", bits, "run").agg(F.map_from_entries(F.collect_list(F.struct("run", "bitmap"))).alias("f"))
+            path = new_path(self.spark, "lsm-filters")
+            filters.write.parquet(path)
+            every = self.spark.read.schema(filters.schema).parquet(path).scalar()  # MEMTABLES + FANOUT bitmaps at most, of 1 MB at most
+            elsewhere = lambda i: reduce(Column.__or__, [has_bit(F.element_at(every, F.lit(j)), F.col("digest"), bits) for j in sizes if j != i], F.lit(False))
+            probed = reduce(DataFrame.unionByName, [r.withColumn("shared", elsewhere(i)) for i, r in enumerate(runs) if i in sizes] or [tagged.drop("run").withColumn("shared", F.lit(True))])
+            shared, alone = probed.where("shared"), probed.where("not shared")
+        merged = shared.groupBy("digest").agg(self.best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        return merged.unionByName(alone.select(*merged.columns))
+
+    def _compact(self, level: int) -> None:
+        """Merge the runs of a level into one run of the next."""
+        if len(self.levels) == level + 1:
+            self.levels.append([])
+        self.levels[level + 1].append(self._write(self._merged(self.levels[level]), f"lsm-l{level + 1}"))
+        self.levels[level] = []
 
     def entries(self) -> DataFrame:
-        """(digest, keep_id, n) over everything inserted."""
-        self.compact()
-        return self.spark.read.parquet(*self.levels[1])
+        """(digest, keep_id, n) over everything inserted, as one run."""
+        runs = [r for level in self.levels for r in level]
+        if len(runs) > 1:
+            self.levels = [*([] for _ in self.levels), [self._write(self._merged(runs), "lsm-all")]]
+            runs = self.levels[-1]
+        return runs[0] if runs else self.rows().select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")).limit(0)
 
     def contains(self, digests: list[bytes]) -> DataFrame:
         """Point lookups: the runs' Bloom filters let row groups without the digest be skipped."""
@@ -85,22 +139,9 @@ class DigestIndex:
 
 def hit_filter(hits: DataFrame, n_hits: int, column: str = "digest") -> Callable[[Column], Column]:
     """A test that no value among ``hits`` fails, from one bitmap of at most MAX_FILTER_BITS bits."""
-    bits = min(MAX_FILTER_BITS, 1 << max(13, ceil(log2(16 * n_hits + 1))))
-    slot = lambda d: F.pmod(F.xxhash64(d), F.lit(bits)).cast("int")
-    low = lambda s: (s.bitwiseAND(63)).cast("int")
-    set_bits = hits.select(slot(F.col(column)).alias("s")).select(
-        F.shiftright("s", 6).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), low(F.col("s"))).alias("b")
-    )
-    blank = hits.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
-    words = set_bits.unionByName(blank).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bitmap = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bitmap"))
-
-    def test(value: Column) -> Column:
-        s = slot(value)
-        word = F.element_at(bitmap.scalar(), F.shiftright(s, 6) + 1)
-        return F.call_function("shiftrightunsigned", word, low(s)).bitwiseAND(F.lit(1).cast("long")) == 1
-
-    return test
+    bits = filter_bits(n_hits)
+    bitmap = bitmaps(hits, column, bits)
+    return lambda value: has_bit(bitmap.scalar(), value, bits)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -109,7 +150,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical byte for byte; null counts as empty. Of equal texts the row with the smallest
     (``keep='max'``: largest) id stays. Null ids lose against others; in a group of null ids keep_id is null and all
     stay. Repeated rows (equal id and text) share one decision. An empty table gives an empty result. Further columns
-    are ignored. ``digest`` may be any function of the text: rows of one digest are compared as bytes.
+    are ignored, whatever their names. ``digest`` may be any function of the text: rows of one digest are compared as bytes.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -117,7 +158,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index.insert(docs)
     hits = index.entries().where("n > 1")
     rows = index.rows()
-    decided = rows.join(hits.withColumnsRenamed({"keep_id": "k"}), "digest", "left").select(
+    decided = join_counted(rows, hits.withColumnsRenamed({"keep_id": "k"}), "digest", rows.count(), "n").select(
         "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("k")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), "digest"
     )
     n_hits = hits.count()
@@ -134,3 +175,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             groups = apart.groupBy("digest", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
             decided = decided.join(unequal, "digest", "left_anti").unionByName(apart.join(groups, ["digest", "text"]).select("doc_id", "keep_id", "group_size", "digest"))
     return decided.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The rows of ``docs`` without copies: of equal texts (null as empty) the row with the smallest (``keep='max'``:
+    largest) id, whole and once. Rows without an id lose against others; among equal ids, or none, the order of
+    the other columns decides. An empty table gives an empty result.
+
+    Texts whose digest the index has once pass without a shuffle; the others are grouped by the text itself."""
+    index = DigestIndex(docs.sparkSession, keep, digest)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    index.insert(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")))
+    hits = index.entries().where("n > 1")
+    maybe = hit_filter(hits, hits.count())(digest(text))
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    row = F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("no_text"), F.struct(*rest).alias("rest") if rest else F.lit(0).alias("rest"))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), row.alias("row"))) if keep == "min" else F.max(F.struct(F.col(id_col).isNotNull().alias("no_id"), row.alias("row")))
+    one = docs.where(maybe).groupBy(text.alias("key")).agg(first["row"].alias("row"))
+    columns = {id_col: F.col("row")["id"], text_col: F.when(~F.col("row")["no_text"], F.col("key"))} | {c: F.col("row")["rest"][c] for c in rest}
+    return docs.where(~maybe).unionByName(one.select(*[columns[c].alias(c) for c in docs.columns]))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from palimpsest.llm.common import held_out, slices
@@ -147,8 +148,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return model
 
 
-def identify(docs: DataFrame, model: ByteTagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score per row: the likeliest language of the whole text and its pooled probability.
+def identify(docs: DataFrame, model: ByteTagger | None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (``whole``: and the row itself, as a struct ``row``) per row: the likeliest language of the whole text and its pooled probability.
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing could be learnt. Of languages with equal
     probability the first by name is given. Repeated rows get equal results, columns besides the two are never read, an
@@ -167,7 +168,13 @@ def identify(docs: DataFrame, model: ByteTagger | None, id_col: str = "doc_id",
                     known = count[i] > 0 and (bool((_LETTER[piece] & (piece < 128)).any()) or any(map(str.isalpha, b.column(1)[first + i].as_py())))
                     names.append(model.labels[best[i]] if known else "und")
                     scores.append(float(p[i, best[i]]) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", *passed, "lang_pred", "score"])
+
+    rest = [c for c in docs.columns if c != text_col] if whole else []
+    passed = ["text", *["rest"][: len(rest)]]
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*rest).alias("rest")][: len(rest)])
+    schema = T.StructType([*given.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = given.mapInArrow(run, schema)
+    if not whole:
+        return out.select("doc_id", "lang_pred", "score")
+    return out.select("doc_id", "lang_pred", "score", F.struct(*[(F.col("text") if c == text_col else F.col("rest")[c]).alias(c) for c in docs.columns]).alias("row"))

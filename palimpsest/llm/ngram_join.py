@@ -221,6 +221,23 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "do
     return full.unionByName(alone.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component of ``ngram_join`` the row with the smallest id, whole and
+    once. Of rows that share that id the one with the smallest text stays. Rows without an id link with nothing and stay.
+
+    Only rows that go, and rows that share an id, are dealt by id; the others pass without a shuffle."""
+    found = ngram_join(docs, n, percent, id_col, text_col).select("doc_id", "component_id").where("doc_id is not null")
+    found = staged(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("doc_id <> component_id or rows > 1"), "ngram-gone")
+    key = F.col(id_col).cast("long")
+    maybe = hit_filter(found, found.count(), "doc_id")(key) & key.isNotNull()
+    rest = [c for c in docs.columns if c != text_col]
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("key"))
+    left = docs.where(maybe).select(key.alias("key"), F.struct(F.col(text_col).alias("text"), F.struct(*rest).alias("rest")).alias("row")).join(gone, "key", "left_anti")
+    one = left.groupBy("key").agg(F.min("row").alias("row"))
+    columns = {c: F.col("row")["rest"][c] for c in rest} | {text_col: F.col("row")["text"]}
+    return docs.where(~maybe | key.isNull()).unionByName(one.select(*[columns[c].alias(c) for c in docs.columns]))
+
+
 def _points(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
     """(doc_id, n, digest of every row; of one row of each text in a block: doc_id, n, bytes, digest, first, tokens, hot;
     rows). ``tokens`` are the n-grams of the point's prefix that others may have, ``hot`` those of the highest level."""

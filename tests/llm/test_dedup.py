@@ -71,12 +71,21 @@ def test_exact_dedup_edges(make):
     assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in out) == [(0, 0, 1, True), (0, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (2, 2, 2, True), (3, 2, 2, False)]
 
 
-def test_index_compacts_over_batches(spark, make):
-    index = DigestIndex(spark, keep="min", fanout=2)
+@pytest.mark.parametrize("bits", [1 << 23, 1 << 6])
+def test_index_compacts_over_batches(spark, make, monkeypatch, bits):
+    """With filters that tell entries apart and with filters too small to do so."""
+    from palimpsest.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "MAX_FILTER_BITS", bits)
+    index = DigestIndex(spark, keep="min", fanout=5)
     for lo in (0, 10, 20):
-        index.insert(make([(i, f"t{i % 5}") for i in range(lo, lo + 10)]).select("doc_id", "text"))
+        index.insert(make([(i, f"t{i % 5}" if i % 2 else f"own{i}") for i in range(lo, lo + 10)]).select("doc_id", "text").repartition(4))
+    assert len(index.levels) > 1 and len(index.levels[1]) > 0
     rows = {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in index.entries().collect()}
-    assert rows == {hashlib.sha256(f"t{k}".encode()).digest(): (k, 6) for k in range(5)}
+    want = defaultdict(list)
+    for i in range(30):
+        want[hashlib.sha256((f"t{i % 5}" if i % 2 else f"own{i}").encode()).digest()].append(i)
+    assert rows == {d: (min(v), len(v)) for d, v in want.items()}
     assert index.contains([hashlib.sha256(b"t3").digest(), b"none"]).count() == 1
 
 

@@ -203,6 +203,40 @@ def test_pipeline(spark, make, corpus, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Rows without an id, repeated rows, rows that share an id, extra columns; and an empty table."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, rest string, key string"
+    a, b = " ".join(f"word{i}" for i in range(40)), " ".join(f"other{i}" for i in range(40))
+    near = a + " more"
+    build = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1, "x", "x", "x") for i, t in rows], schema)
+    pairs = lambda df: sorted(((r["doc_id"] or -1, r["text"] or "") for r in df.collect()))
+
+    rows = [(None, a), (None, "12 !"), (None, None), (1, a), (1, a), (1, b), (2, "")]
+    out = stage["language_id"](spark, build(rows), "")
+    assert out.columns == corpus_pipeline.COLUMNS and pairs(out) == sorted([(-1, a), (1, a), (1, a), (1, b)])
+    rows = [(None, a), (1, a), (1, a), (5, a), (5, b), (5, b), (None, "x"), (None, "x"), (2, ""), (3, None)]
+    out = stage["exact_dedup"](spark, build(rows), "")
+    assert out.columns == corpus_pipeline.COLUMNS and pairs(out) == sorted([(5, a), (5, b), (-1, "x"), (3, "")])
+    rows = [(None, near), (7, a), (7, near), (8, near + " x"), (9, b), (9, b + " y"), (4, b + " z"), (6, ""), (10, None)]
+    out = stage["near_dedup"](spark, build(rows), "")
+    assert out.columns == corpus_pipeline.COLUMNS and pairs(out) == sorted([(-1, near), (7, a), (4, b + " z"), (6, ""), (10, "")])
+    empty = build([]).select(*corpus_pipeline.COLUMNS)
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, empty, "").count() == 0, name
+
+
+def test_language_stage_heeds_the_label(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i, ("the and of " if i % 2 else "ñe que ció ") * 20, "en" if i % 2 else "es", "s", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ["es"])
+    assert {r["lang"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {"es"}
+
+
 def test_queries_and_oracles_agree_on_names():
     from palimpsest.llm import queries
 
