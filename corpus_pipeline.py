@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, mixing, tokenizing.
 
 Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``documents``.
+stage's docs. All but the last return the columns of ``documents``; further columns of ``documents`` are left out.
+Stages pass on the rows they keep, not ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,35 +12,36 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import language_id
 from palimpsest.llm.bpe import bpe_round_trip
-from palimpsest.llm.common import staged
-from palimpsest.llm.exact_dedup import exact_dedup
+from palimpsest.llm.common import scratch, staged
+from palimpsest.llm.exact_dedup import without_copies
 from palimpsest.llm.mixing import poisson_mix
-from palimpsest.llm.ngram_join import ngram_join
+from palimpsest.llm.ngram_join import without_near_copies
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "byte_bpe_50k.json"
 MIX_SEED = 20
-
-
-def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``kept``. Rows without an id can't be decided on by id and stay out."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+#: Languages that stay (None: all that were learnt), and the least mean probability of the likeliest one.
+LANGUAGES: list[str] | None = None
+LEAST_SHARE = 0.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language; those without text or letters (``und``) go."""
-    labelled = language_id.identify(docs, language_id.train(docs))
-    return only(docs, labelled.where("lang_pred <> 'und'"))
+    """Documents whose likeliest language is among LANGUAGES (None: any that was learnt) with a mean probability of
+    LEAST_SHARE or more; those without text or letters (``und``) go. Rows are decided on one by one."""
+    labelled = language_id.identify(docs, language_id.train(docs), whole=True)
+    wanted = F.col("lang_pred") != "und" if LANGUAGES is None else F.col("lang_pred").isin(LANGUAGES)
+    return labelled.where(wanted & (F.col("score") >= LEAST_SHARE)).select("row.*").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
-    return only(docs, exact_dedup(docs, keep="max").where("kept"))
+    """Of equal texts one row, that with the largest id; rows without an id lose against others."""
+    return without_copies(docs, keep="max").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the row with the smallest id (five words, similarity 0.75 or more)."""
-    return only(docs, ngram_join(docs, n=5, percent=75).where("doc_id = component_id"))
+    """Of each component of near copies one row, that with the smallest id (five words, similarity 0.75 or more). Rows
+    without an id stay."""
+    return without_near_copies(docs, n=5, percent=75).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # a stage's own tables go once its result is written
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
