@@ -169,7 +169,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
             kept.append(b" ".join(words).decode())
         return pa.table([b.table.column("doc_id"), pa.array(b.n_words), pa.array(n_removed), pa.array(kept, pa.string())], names)
 
-    replies = merged_replies(base.where("doc_id is not null").groupBy("block").applyInArrow(sketch, PARTIAL), ranges)
+    replies = merged_replies(base.groupBy("block").applyInArrow(sketch, PARTIAL), ranges)
     seen = base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(pick, "d1 long, d2 long, doc_id long, place long")
     told = seen.repartition("d1", "d2").sortWithinPartitions("d1", "d2", "doc_id").mapInArrow(larger, "block int, at int")
     return base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(strip, "doc_id long, n_words long, n_removed long, kept_text string")
