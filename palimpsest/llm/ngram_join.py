@@ -33,7 +33,7 @@ from palimpsest.llm.exact_dedup import hit_filter
 from palimpsest.llm.repeat_sketch import PARTIAL, in_blocks, levels_of, merged_replies, partial_sketch
 
 #: Fewest and most groups of the count vector; most points and bytes of words of a leaf, about; points or boxes in a box.
-GROUPS, MOST_GROUPS, LEAF_POINTS, LEAF_BYTES, NODE = 64, 1024, 2048, 8 << 20, 16
+GROUPS, MOST_GROUPS, LEAF_POINTS, LEAF_BYTES, NODE = 64, 1024, 1024, 4 << 20, 16
 #: N-grams of this level (the highest) may be in any number of documents; their meetings are dealt by leaf.
 HOT = 255
 #: Ratio between the sizes of neighbouring bands.
@@ -252,7 +252,8 @@ def _points(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
         return [s for _, s in shingle_sets(column, n)]
 
     def sketch(table: pa.Table) -> pa.Table:
-        return partial_sketch(table.column("block")[0].as_py(), np.concatenate(sets_of(table)), ranges)
+        known = [s for s, i in zip(sets_of(table), table.column("doc_id"), strict=True) if i.is_valid]
+        return partial_sketch(table.column("block")[0].as_py(), np.concatenate([*known, np.zeros(0, np.uint64)]), ranges)
 
     names = ["doc_id", "n", "digest", "bytes", "first", "tokens", "hot"]
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -282,7 +283,7 @@ def _points(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
         columns = [ids, [len(s) for s in sets], digests, [len(t) for t in texts], first, tokens, hot]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    replies = merged_replies(base.where("doc_id is not null").groupBy("block").applyInArrow(sketch, PARTIAL), ranges)
+    replies = merged_replies(base.groupBy("block").applyInArrow(sketch, PARTIAL), ranges)
     schema = "doc_id long, n int, digest binary, bytes long, first long, tokens array<long>, hot array<long>"
     seen = staged(base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(prefixes, schema), "ngram-sets")
     return seen.select("doc_id", "n", "digest"), seen.where("first is not null"), seen.count()
