@@ -2,8 +2,8 @@
 
 * Rows go into MEMTABLES memtables by scan task. A memtable is flushed as a run: one entry (digest, id that stays, rows) per
   digest, sorted by digest, with Parquet Bloom filters for point lookups and a bitmap of a bounded number of bits.
-* Compaction merges the runs of a level into one run of the next. An entry that is in no other run's bitmap is in no other
-  run: it passes as it is. Only the others are dealt by digest and merged, keeping the smallest (largest) id. A level that
+* Compaction merges the runs of a level into one run of the next. The bits that two runs have in common are one bitmap; an
+  entry whose bit is not among them is in no other run and passes as it is. Only the others are dealt by digest and merged, keeping the smallest (largest) id. A level that
   has gathered FANOUT runs is compacted; reading compacts what is left.
 * Digests with more than one row are hits. A bitmap of a bounded number of bits over the hits keeps the text of other
   rows from moving; texts of hits are then compared byte by byte (smallest against largest text of a digest, a
@@ -43,14 +43,32 @@ def _word(value: Column, bits: int) -> tuple[Column, Column]:
     return F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")
 
 
-def bitmaps(rows: DataFrame, value: str, bits: int, *by: str) -> DataFrame:
-    """(by, bitmap array<long>): the bits of the values of each group. Words without a bit are there, as 0."""
+def _words(rows: DataFrame, value: str, bits: int, *by: str) -> DataFrame:
+    """(by, w, b): the words of the bitmaps of the values of each group that have a bit."""
     w, bit = _word(F.col(value), bits)
-    words = rows.select(*by, w.cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
-    groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
-    blank = groups.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bits // 64 - 1).cast("long"))).alias("w"), F.lit(0).cast("long").alias("b"))
-    words = words.unionByName(blank).groupBy(*by, "w").agg(F.bit_or("b").alias("b"))
-    return words.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bitmap"))
+    return rows.select(*by, w.cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy(*by, "w").agg(F.bit_or("b").alias("b"))
+
+
+def _array(words: DataFrame, bits: int) -> DataFrame:
+    """One row, ``bitmap`` array<long>, from the words (w, b) that have a bit; the others are 0."""
+    blank = words.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+    words = words.unionByName(blank).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bitmap"))
+
+
+def bitmap(rows: DataFrame, value: str, bits: int) -> DataFrame:
+    return _array(_words(rows, value, bits), bits)
+
+
+def shared_bitmap(rows: DataFrame, value: str, bits: int, by: str) -> DataFrame:
+    """The bits that are set in the bitmaps of two groups or more: what a probe of each group's against all others' finds."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("twice"))
+
+    def add(acc: Column, b: Column) -> Column:
+        return F.struct(acc["seen"].bitwiseOR(b).alias("seen"), acc["twice"].bitwiseOR(acc["seen"].bitwiseAND(b)).alias("twice"))
+
+    twice = F.aggregate(F.collect_list("b"), start, add, lambda acc: acc["twice"])  # a word per group
+    return _array(_words(rows, value, bits, by).groupBy("w").agg(twice.alias("b")), bits)
 
 
 def has_bit(bitmap: Column, value: Column, bits: int) -> Column:
@@ -101,19 +119,13 @@ class DigestIndex:
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         tagged = reduce(DataFrame.unionByName, [r.withColumn("run", F.lit(i)) for i, r in enumerate(runs)])
-        sizes = dict(tagged.groupBy("run").count().collect())  # a row per run
-        bits = filter_bits(max(sizes.values(), default=0))
-        if bits < 4 * max(sizes.values(), default=0):  # bitmaps of bounded size would be full of ones
-            shared = tagged
-            alone = tagged.limit(0)
+        n = tagged.count()
+        bits = filter_bits(n)
+        if bits < 4 * n:  # a bitmap of bounded size would be full of ones
+            shared, alone = tagged, tagged.limit(0)
         else:
-            filters = bitmaps(tagged, "digest", bits, "run").agg(F.map_from_entries(F.collect_list(F.struct("run", "bitmap"))).alias("f"))
-            path = new_path(self.spark, "lsm-filters")
-            filters.write.parquet(path)
-            every = self.spark.read.schema(filters.schema).parquet(path).scalar()  # MEMTABLES + FANOUT bitmaps at most, of 1 MB at most
-            elsewhere = lambda i: reduce(Column.__or__, [has_bit(F.element_at(every, F.lit(j)), F.col("digest"), bits) for j in sizes if j != i], F.lit(False))
-            probed = reduce(DataFrame.unionByName, [r.withColumn("shared", elsewhere(i)) for i, r in enumerate(runs) if i in sizes] or [tagged.drop("run").withColumn("shared", F.lit(True))])
-            shared, alone = probed.where("shared"), probed.where("not shared")
+            probe = has_bit(shared_bitmap(tagged, "digest", bits, "run").scalar(), F.col("digest"), bits)
+            shared, alone = tagged.where(probe), tagged.where(~probe)
         merged = shared.groupBy("digest").agg(self.best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
         return merged.unionByName(alone.select(*merged.columns))
 
@@ -140,8 +152,8 @@ class DigestIndex:
 def hit_filter(hits: DataFrame, n_hits: int, column: str = "digest") -> Callable[[Column], Column]:
     """A test that no value among ``hits`` fails, from one bitmap of at most MAX_FILTER_BITS bits."""
     bits = filter_bits(n_hits)
-    bitmap = bitmaps(hits, column, bits)
-    return lambda value: has_bit(bitmap.scalar(), value, bits)
+    found = bitmap(hits, column, bits)
+    return lambda value: has_bit(found.scalar(), value, bits)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest: Callable[[Column], Column] = sha256) -> DataFrame:
