@@ -85,7 +85,7 @@ class DigestIndex:
         self.spark, self.digest, self.fanout = spark, digest, fanout
         self.best = F.min if keep == "min" else F.max
         self.logs: list[DataFrame] = []
-        self.levels: list[list[DataFrame]] = [[]]
+        self.levels: list[list[tuple[DataFrame, int]]] = [[]]  # of a level: tables (run, digest, keep_id, n) and their numbers of runs
 
     def _write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         path = new_path(self.spark, name)
@@ -106,10 +106,10 @@ class DigestIndex:
         log = self.spark.read.schema(rows.schema).parquet(path)
         self.logs.append(log.select("doc_id", "digest"))
         runs = self._write(log.groupBy("run", "digest").agg(self.best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "lsm-l0", "run")
-        present = sorted(r["run"] for r in runs.select("run").distinct().collect())  # MEMTABLES rows at most
-        self.levels[0] += [runs.where(F.col("run") == r).drop("run") for r in present]
+        present = runs.select("run").distinct().count()
+        self.levels[0].append((runs, present))
         level = 0
-        while len(self.levels[level]) >= self.fanout:
+        while sum(k for _, k in self.levels[level]) >= self.fanout:
             self._compact(level)
             level += 1
 
@@ -117,8 +117,9 @@ class DigestIndex:
         """Every (doc_id, digest) inserted so far."""
         return reduce(DataFrame.unionByName, self.logs)
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        tagged = reduce(DataFrame.unionByName, [r.withColumn("run", F.lit(i)) for i, r in enumerate(runs)])
+    def _merged(self, runs: list[tuple[DataFrame, int]]) -> DataFrame:
+        """One entry per digest of the runs."""
+        tagged = reduce(DataFrame.unionByName, [r.withColumn("run", F.col("run") + i * (MEMTABLES + 1)) for i, (r, _) in enumerate(runs)])
         n = tagged.count()
         bits = filter_bits(n)
         if bits < 4 * n:  # a bitmap of bounded size would be full of ones
@@ -133,16 +134,16 @@ class DigestIndex:
         """Merge the runs of a level into one run of the next."""
         if len(self.levels) == level + 1:
             self.levels.append([])
-        self.levels[level + 1].append(self._write(self._merged(self.levels[level]), f"lsm-l{level + 1}"))
+        self.levels[level + 1].append((self._write(self._merged(self.levels[level]).withColumn("run", F.lit(0)), f"lsm-l{level + 1}"), 1))
         self.levels[level] = []
 
     def entries(self) -> DataFrame:
         """(digest, keep_id, n) over everything inserted, as one run."""
         runs = [r for level in self.levels for r in level]
-        if len(runs) > 1:
-            self.levels = [*([] for _ in self.levels), [self._write(self._merged(runs), "lsm-all")]]
-            runs = self.levels[-1]
-        return runs[0] if runs else self.rows().select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")).limit(0)
+        if sum(k for _, k in runs) > 1:
+            runs = [(self._write(self._merged(runs).withColumn("run", F.lit(0)), "lsm-all"), 1)]
+            self.levels = [*([] for _ in self.levels), runs]
+        return runs[0][0].select("digest", "keep_id", "n")
 
     def contains(self, digests: list[bytes]) -> DataFrame:
         """Point lookups: the runs' Bloom filters let row groups without the digest be skipped."""
