@@ -98,7 +98,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _HASHED = "('0x' || substr(md5('{seed}:' || coalesce(cast(doc_id as varchar), '~') || ':' || {part}), 1, 12))::bigint"
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
 ORACLES: dict[str, str] = {
+    "op4_count_min_substrings": f"""
+        with w as (select doc_id, coalesce(regexp_extract_all(text, {_WORD}), []) as words from documents),
+        windows as (select doc_id, i, words[i:i + 12] as win from (select *, unnest(range(1, len(words) - 11)) as i from w)),
+        firsts as (select win, min(doc_id) as first from windows group by win),
+        gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from windows join firsts using (win) where first < doc_id),
+        each as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as p from w),
+        kept as (select doc_id, string_agg(word, ' ' order by p) as t from each anti join gone using (doc_id, p) group by doc_id),
+        removed as (select doc_id, count(*) as n from gone group by doc_id)
+        select doc_id, len(words)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from w left join kept using (doc_id) left join removed using (doc_id)""",
+    "op6_ngram_rtree": f"""
+        with recursive w as (
+            select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}), []) as words from documents),
+        sets as (
+            select doc_id, unnest(list_distinct(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+                                                     when len(words) > 0 then [array_to_string(words, ' ')] else [] end)) as s from w),
+        sizes as (select doc_id, count(*) as n from sets group by doc_id),
+        shared as (select a.doc_id as x, b.doc_id as y, count(*) as k from sets a join sets b using (s) where a.doc_id <> b.doc_id group by all),
+        links as (select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * k >= 75 * (a.n + b.n - k)),
+        reach as (select doc_id, doc_id as r from documents union select reach.doc_id, y from reach join links on r = x),
+        lowest as (select doc_id, min(r) as component_id from reach group by doc_id),
+        degree as (select x as doc_id, count(*) as n_links from links group by x)
+        select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, coalesce(n_links, 0)::bigint as n_links
+        from lowest left join sizes using (doc_id) left join degree using (doc_id)""",
     "op2_exact_dedup": """
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                doc_id is not distinct from max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
