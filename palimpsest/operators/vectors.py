@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import importlib
 from collections.abc import Callable
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,13 +27,36 @@ def hash_vectors(texts: DataFrame, keys: list[str], text_col: str = "text", dim:
     return counts.select(*keys, "bucket", (F.col("c") / norm).alias("w"))
 
 
-def model_vectors(texts: DataFrame, keys: list[str], embed: Callable[[list[str]], list[list[float]]], text_col: str = "text") -> DataFrame:
-    """keys, vec from a function of a batch of texts, in Arrow batches; L2-normalised. Where it raises, the hashed
-    vectors of hash_vectors() are the way out."""
+def hashed_list(text: str, dim: int) -> list[float]:
+    """hash_vectors() of one text, not normalised, as a list."""
+    out = [0.0] * dim
+    for token in regex.findall(r"[\p{L}\p{N}_]{2,}", text.lower()):
+        out[int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % dim] += 1.0
+    return out
+
+
+def model_vectors(texts: DataFrame, keys: list[str], embedder: str | Callable, text_col: str = "text", dim: int = 768, batch_size: int = 64) -> DataFrame:
+    """keys, vec: L2-normalised vectors of ``dim`` numbers from ``embedder``, a function of a list of texts or its name as
+    'module:function', at most ``batch_size`` texts at a time. Texts of a batch for which it can't be loaded, raises, or
+    gives vectors of another shape get hashed ones."""
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(embed(s.fillna("").tolist()))
+        known, out = s.fillna("").tolist(), []
+        for at in range(0, len(known), batch_size):
+            part = known[at : at + batch_size]
+            try:
+                call = embedder
+                if isinstance(embedder, str):
+                    module, _, name = embedder.partition(":")
+                    call = getattr(importlib.import_module(module), name)
+                found = [[float(x) for x in v] for v in call(part)]
+                if [len(v) for v in found] != [dim] * len(part):
+                    raise ValueError("vectors of another shape")
+            except Exception:
+                found = [hashed_list(t, dim) for t in part]
+            out += found
+        return pd.Series(out, dtype=object)
 
     return texts.select(*keys, l2_normalize(run(F.col(text_col))).alias("vec"))
 

@@ -20,7 +20,7 @@ class Params:
     score_mode: str = "double"
     #: Python workers' batch for model-backed vectors.
     batch_size: int = 1024
-    #: 'hash' or a function from a list of texts to a list of vectors.
+    #: 'hash', or a function from a list of texts to a list of vectors of vector_dim numbers, or its name ('module:function').
     embedder: object = "hash"
     #: None for the built-in summary, or a function from a prompt to a text.
     summarizer: object = None

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from palimpsest.functions import scores as S
 from palimpsest.operators.assignment import assign
 from palimpsest.operators.layout import SIDE
-from palimpsest.operators.vectors import hash_vectors, sections_of, sparse_cosine
+from palimpsest.operators.vectors import hash_vectors, model_vectors, sections_of, sparse_cosine
 from palimpsest.params import Params
 from palimpsest.plans.staging import staged
 
@@ -51,8 +51,11 @@ def sides(nodes: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
 
 def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of equal kind class within equal ``on``, with every feature but the lexical one."""
-    p = left.join(right, [*on, "kind_class"])
-    return p.select(
+    return features(left.join(right, [*on, "kind_class"]))
+
+
+def features(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
         "*",
         S.heading_similarity(F.col("legacy_path"), F.col("modern_path")).alias("heading"),
         S.kind_compatibility(F.col("legacy_kind"), F.col("modern_kind")).alias("kind_bonus"),
@@ -90,8 +93,9 @@ def match(left: DataFrame, right: DataFrame, vectors: DataFrame, on: list[str],
     edges = score_pairs(candidate_pairs(left, right, on), vectors, on, params.min_similarity)
     edges = edges.where(F.col("candidate") >= params.min_similarity)
     slim = assign(edges.select(*on, "legacy_id", "modern_id", "candidate", "cos", "legacy_pos", "modern_pos"), on, params.min_similarity)
-    # slim keeps few columns out of the grouped function; the texts come back by a join on the ids
-    found = slim.drop("legacy_pos", "modern_pos").join(candidate_pairs(left, right, on), [*on, "legacy_id", "modern_id"])
+    # slim keeps few columns out of the grouped function; the texts come back by the ids of the matched leaves alone
+    slim = slim.drop("legacy_pos", "modern_pos")
+    found = features(slim.join(left, [*on, "legacy_id"]).join(right.drop("kind_class"), [*on, "modern_id"]))
     found = found.withColumn("lexical_score", lexical(F.col("legacy_text"), F.col("modern_text")))
     again = _hybrid(F.col("candidate"), F.col("lexical_score")) if params.score_mode == "double" else F.col("candidate")
     found = found.withColumn("similarity", again).withColumn("heading_bonus", 0.08 * F.col("heading"))
@@ -99,20 +103,34 @@ def match(left: DataFrame, right: DataFrame, vectors: DataFrame, on: list[str],
     return found.select("pair_id", F.lit(stage).alias("stage"), "legacy_id", "modern_id", "cos", "candidate", "similarity", "lexical_score", "change_type", "heading_bonus", "page_bonus")
 
 
-def align_stages(nodes: DataFrame, params: Params = Params()) -> dict[str, DataFrame]:
-    """matched pairs of the stages 'sections', 'children' and 'fallback', and 'unmatched' leaves of either side."""
+def leaf_vectors(leaves: DataFrame, params: Params) -> DataFrame:
+    """pair_id, doc_side, node_id, bucket, w: hashed, or by the model that ``params.embedder`` is or names."""
+    keys = [*SIDE, "node_id"]
+    if params.embedder == "hash":
+        return hash_vectors(leaves, keys, "text", params.vector_dim)
+    dense = model_vectors(leaves, keys, params.embedder, "text", params.vector_dim, params.batch_size)
+    return dense.select(*keys, F.posexplode("vec").alias("bucket", "w")).where("w <> 0")
+
+
+def align_stages(nodes: DataFrame, params: Params = Params(), last: str = "unmatched") -> dict[str, DataFrame]:
+    """matched pairs of the stages 'sections', 'children' and 'fallback', and 'unmatched' leaves of either side; stages
+    after ``last`` aren't run."""
     leaves = nodes.where("leaf_pos is not null").join(sections_of(nodes), [*SIDE, "node_id"], "left")
     leaves = staged(leaves.select(*SIDE, *FIELDS, "section_id"), "align-leaves")
-    vectors = staged(hash_vectors(leaves, ["pair_id", "doc_side", "node_id"], "text", params.vector_dim), "align-vectors")
+    vectors = staged(leaf_vectors(leaves, params), "align-vectors")
     heads, body = leaves.where("kind = 'section'"), leaves.where("kind <> 'section'")
     sections = staged(match(*sides(heads), vectors, ["pair_id"], params, "sections"), "align-sections")
 
+    if last == "sections":
+        return {"sections": sections}
     matched = sections.select("pair_id", F.col("legacy_id").alias("ls"), F.col("modern_id").alias("ms"))
     left, right = sides(body, "section_id")
     left = left.join(matched, (left["pair_id"] == matched["pair_id"]) & (left["section_id"] == matched["ls"])).drop(matched["pair_id"]).drop("section_id")
     right = right.join(matched, (right["pair_id"] == matched["pair_id"]) & (right["section_id"] == matched["ms"])).drop(matched["pair_id"]).drop("section_id")
     children = staged(match(left, right, vectors, ["pair_id", "ls", "ms"], params, "children"), "align-children")
 
+    if last == "children":
+        return {"sections": sections, "children": children}
     taken = sections.select("pair_id", F.lit("legacy").alias("doc_side"), F.col("legacy_id").alias("section_id")).unionByName(sections.select("pair_id", F.lit("modern").alias("doc_side"), F.col("modern_id").alias("section_id")))
     free = body.join(taken, ["pair_id", "doc_side", "section_id"], "left_anti")
     fallback = staged(match(*sides(free), vectors, ["pair_id"], params, "fallback"), "align-fallback")

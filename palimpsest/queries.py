@@ -263,14 +263,23 @@ def expand_section(s, d):
     return provenance.expand_section(page_nodes(s, d)).select(*SIDE, "node_id", joined("ids"))
 
 
-@query("section_ctx")
+@query(
+    "section_ctx",
+    f"{FB} select {KEY}, (select coalesce(string_agg(p, '|' order by d), '') from chain c where c.pair_id = l.pair_id and c.doc_side = l.doc_side and c.node_id = l.node_id) as ancestors, "
+    "coalesce(array_to_string(children[1:12], '|'), '') as children, coalesce(array_to_string(ids, '|'), '') as neighbours from leaves l left join kids using (pair_id, doc_side, node_id) left join near1 using (pair_id, doc_side, node_id) where kind = 'section'",
+)
 def section_ctx(s, d):
     return provenance.section_context(page_nodes(s, d)).select(*SIDE, "node_id", joined("ancestors"), joined("children"), joined("neighbours"))
 
 
-@query("trace_node")
+@query(
+    "trace_node",
+    f"{FB}, up as (select {KEY}, string_agg(p, '|' order by d) as ancestors from chain group by all) "
+    f"select {KEY}, kind, page, text, array_to_string(path, '.') as path, parent_id, coalesce(ancestors, '') as ancestors, coalesce(array_to_string(children, '|'), '') as children from nodes left join up using (pair_id, doc_side, node_id) left join kids using (pair_id, doc_side, node_id)",
+)
 def trace_node(s, d):
-    return provenance.trace_nodes(page_nodes(s, d)).select(*SIDE, "node_id", F.to_json("node").alias("node"), joined("ancestors"), joined("children"))
+    t = provenance.trace_nodes(page_nodes(s, d))
+    return t.select(*SIDE, "node_id", "node.kind", "node.page", "node.text", F.array_join("node.path", ".").alias("path"), "node.parent_id", joined("ancestors"), joined("children"))
 
 
 # -- vectors and contexts
@@ -288,16 +297,31 @@ def l2_normalize(s, d):
     return e.withColumn("x", F.round("x", 5))
 
 
-@query("embed_leaves")
+def _hashed_sql(rows: str, keys: str, dim: int) -> str:
+    """Hashed and normalised words of ``text``, per keys and bucket."""
+    counts = f"select {keys}, {O.bucket('token', dim)} as bucket, count(*) as c from (select {keys}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as token from {rows}) group by all"
+    return f"select {keys}, bucket, c / sqrt(sum(c * c) over (partition by {keys})) as w from ({counts})"
+
+
+@query(
+    "embed_leaves",
+    f"{FB}, v as ({_hashed_sql('leaves', KEY, 64)}), cells as (select u.*, r.i from (select distinct {KEY} from v) u, range(64) r(i)) "
+    f"select {KEY}, i::int as i, round(coalesce(w, 0.0), 6) as x from cells left join (select {KEY}, bucket as i, w from v) using (pair_id, doc_side, node_id, i)",
+)
 def embed_leaves(s, d):
     n = tree.leaves(page_nodes(s, d))
-    return vectors.dense(vectors.hash_vectors(n, [*SIDE, "node_id"], dim=64), [*SIDE, "node_id"], 64).select(*SIDE, "node_id", F.to_json("vec").alias("vec"))
+    v = vectors.dense(vectors.hash_vectors(n, [*SIDE, "node_id"], dim=64), [*SIDE, "node_id"], 64)
+    return v.select(*SIDE, "node_id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("embed_hier")
+@query(
+    "embed_hier",
+    f"{FB}, plan as (select *, context_text as text, 'section' as level from section_context union all select *, context_text as text, 'body' as level from paragraph_context) "
+    f"select {KEY}, level, bucket, round(w, 6) as w from ({_hashed_sql('plan', KEY + ', level', 768)})",
+)
 def embed_hier(s, d):
     plan = vectors.embed_plan(page_nodes(s, d))
-    return vectors.hash_vectors(plan, [*SIDE, "node_id", "level"], "context_text").groupBy(*SIDE, "node_id", "level").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("norm"))
+    return vectors.hash_vectors(plan, [*SIDE, "node_id", "level"], "context_text").withColumn("w", F.round("w", 6))
 
 
 @query("section_context", f"{FB} select {KEY}, context_text from section_context")
@@ -403,7 +427,12 @@ MATCH = [*PAIR, "change_type"]
 
 def _match(stage):
     def run(s, d):
-        return align.align_stages(document_nodes(s, d))[stage].select(*MATCH, *[F.round(c, 6).alias(c) for c in ("candidate", "similarity", "lexical_score")])
+        """Over all pairs of documents, which have no sections, and up to the children also over the pages of each
+        language, which have: bodies outside matched sections, each against all of a language, aren't compared there."""
+        nodes = document_nodes(s, d)
+        if stage != "fallback":
+            nodes = nodes.unionByName(page_nodes(s, d).select(*nodes.columns))
+        return align.align_stages(nodes, last=stage)[stage].select(*MATCH, *[F.round(c, 6).alias(c) for c in ("candidate", "similarity", "lexical_score")])
 
     return run
 

@@ -142,6 +142,18 @@ def test_matching_at_any_scale(scale, seed):
     assert keep.sum() == n and value(np.flatnonzero(keep)) == best
 
 
+def test_model_vectors_fall_back_to_hashed_ones(spark):
+    from palimpsest.operators.vectors import dense, hash_vectors, model_vectors
+
+    rows = spark.createDataFrame([(i, f"keep {i} days and days") for i in range(5)], "k int, text string")
+    want = {r["k"]: r["vec"] for r in dense(hash_vectors(rows, ["k"], dim=16), ["k"], 16).collect()}
+    for broken in ("no.such.module:f", lambda texts: 1 / 0, lambda texts: [[1.0]] * len(texts)):
+        got = {r["k"]: r["vec"] for r in model_vectors(rows, ["k"], broken, dim=16, batch_size=2).collect()}
+        assert all(np.allclose(got[k], v) for k, v in want.items())
+    got = model_vectors(rows, ["k"], lambda texts: [[float(len(t)), 0.0] for t in texts], dim=2).collect()
+    assert {tuple(r["vec"]) for r in got} == {(1.0, 0.0)}
+
+
 def test_far_positions_decide_ties():
     left, right = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
     keep = match_edges(left, right, np.ones(4), np.full(4, 0.5), np.array([15_000, 15_001, 15_002, 15_002]), 0.75)
