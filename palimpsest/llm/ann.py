@@ -115,23 +115,26 @@ class IvfPq:
 def nearest_exact(q: np.ndarray, d: np.ndarray, error: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each row of q (rows, distances) of its k nearest ``vectors``, ties by id, equal (id, distance) once.
 
-    ``d`` are asymmetric distances (query, row), each off by at most ``error``; infinite ones stay out. Distances add up
-    squares in order, in double precision."""
+    ``d`` are asymmetric distances (query, row), each off by at most ``error`` (per row, or per query and row); infinite
+    ones stay out. Distances add up squares in order, in double precision."""
+    q, vectors = q.astype(np.float64), vectors.astype(np.float64)
 
     def exact(i: int, rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.cumsum((vectors[rows].astype(np.float64) - q[i]) ** 2, 1)[:, -1])
+        with np.errstate(over="ignore"):
+            return np.sqrt(np.cumsum((vectors[rows] - q[i]) ** 2, 1)[:, -1])
 
     one, limit = np.unique(ids, return_index=True)[1], np.full(len(q), np.inf)
     for i, row in enumerate(d):  # k rows of different ids bound the k-th distance, the best asymmetric ones closely
         some = one[np.isfinite(row[one])]
         if len(some) >= k:
             limit[i] = exact(i, some[np.argpartition(row[some], k - 1)[:k]]).max()
-    nq, nv = (q * q).sum(1)[:, None], (vectors * vectors).sum(1)[None, :]
-    low = d * (1 - SLACK) - error * (1 + SLACK) - 1e-5 * np.sqrt(nq + nv)
-    alive = np.isfinite(d) & (low <= limit[:, None])
-    at, top = np.flatnonzero(alive.any(0)), np.square(limit)[:, None]
-    with one_thread():  # squares in single precision leave few rows for the sums in order
-        alive = alive[:, at] & (nq + nv[:, at] - 2 * q @ vectors[at].T <= top + SLACK * (top + nq + nv[:, at]))
+    with one_thread(), np.errstate(over="ignore", invalid="ignore"):  # what overflows is ranked
+        nq, nv = (q * q).sum(1)[:, None], (vectors * vectors).sum(1)[None, :]
+        low = d * (1 - SLACK) - error * (1 + SLACK) - 1e-5 * np.sqrt(nq + nv)
+        alive = np.isfinite(d) & ~(low > limit[:, None])
+        at, top = np.flatnonzero(alive.any(0)), np.square(limit)[:, None]
+        near = nq + nv[:, at] - 2 * q @ vectors[at].T  # leaves few rows for the sums in order
+        alive = alive[:, at] & ~(near > top + 1e-9 * (top + nq + nv[:, at]))
     out = []
     for i, row in enumerate(alive):
         rows = at[row]
@@ -145,7 +148,14 @@ def nearest_exact(q: np.ndarray, d: np.ndarray, error: np.ndarray, ids: np.ndarr
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.asarray(column.combine_chunks().flatten() if hasattr(column, "combine_chunks") else column.flatten(), np.float32).reshape(-1, dim)
+    return np.asarray(column.combine_chunks().flatten() if hasattr(column, "combine_chunks") else column.flatten(), np.float64).reshape(-1, dim)
+
+
+def single(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors in single precision, within a range whose squares it holds; their distances from the originals)."""
+    y = np.clip(x, -1e15, 1e15).astype(np.float32)
+    with np.errstate(over="ignore"):
+        return y, np.sqrt(((x - y) ** 2).sum(1))
 
 
 def build(vectors: DataFrame) -> IvfPq | None:
@@ -154,7 +164,7 @@ def build(vectors: DataFrame) -> IvfPq | None:
     if not n:
         return None
     rows = hashed_sample(vectors.select("id", "vec"), "id", SAMPLE).toArrow()
-    return IvfPq(np.array(rows.column("vec").to_pylist(), np.float32), min(MAX_LISTS, max(1, isqrt(n))))
+    return IvfPq(single(np.array(rows.column("vec").to_pylist(), np.float64))[0], min(MAX_LISTS, max(1, isqrt(n))))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None) -> DataFrame:
@@ -168,7 +178,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     import pyarrow as pa
 
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
     dims = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     empty = "query_id long, rank int, vec_id long, score double"
@@ -181,10 +191,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     def post(batches):
         ix = shared.value
         for b in batches:
-            lists, codes, lost = ix.encode(_matrix(b.column(1), dim))
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(lost, pa.float32()), b.column(1)], ["list", "id", "code", "error", "vec"])
+            x, rounded = single(_matrix(b.column(1), dim))
+            lists, codes, lost = ix.encode(x)
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(lost + rounded, pa.float64()), b.column(1)], ["list", "id", "code", "error", "vec"])
 
-    posted = staged(rows.select("id", "vec").mapInArrow(post, "list int, id long, code binary, error float, vec array<float>"), "ivf-lists")
+    posted = staged(rows.select("id", "vec").mapInArrow(post, "list int, id long, code binary, error double, vec array<double>"), "ivf-lists")
     sizes = dict(posted.groupBy("list").count().collect())  # one row per list
     first, count = index.cells(sizes)
     at = lambda values: F.element_at(F.array(*map(F.lit, values.tolist())), F.col("list") + 1)
@@ -194,7 +205,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     def ask(batches):
         ix = shared.value
         for b in batches:
-            near = _nearest(_matrix(b.column(1), dim), ix.coarse, min(probes, len(ix.coarse)))
+            near = _nearest(single(_matrix(b.column(1), dim))[0], ix.coarse, min(probes, len(ix.coarse)))
             who, cell, lists = [], [], []
             for i, row in enumerate(near):
                 by_cell: dict[int, list[int]] = {}
@@ -207,7 +218,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
             who = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column(0).take(who), b.column(1).take(who), pa.array(lists, pa.list_(pa.int32()))], ["cell", "query_id", "vec", "lists"])
 
-    asked = rows.where("asks").select("id", "vec").mapInArrow(ask, "cell int, query_id long, vec array<float>, lists array<int>")
+    asked = rows.where("asks").select("id", "vec").mapInArrow(ask, "cell int, query_id long, vec array<double>, lists array<int>")
 
     def scan(q: pa.Table, p: pa.Table) -> pa.Table:
         found = []
@@ -217,14 +228,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
             error, vectors = p.column("error").to_numpy(), _matrix(p.column("vec"), dim)
             members = {x: np.flatnonzero(listed == x) for x in np.unique(listed).tolist()}
             qid, x, asked_of = q.column("query_id").to_numpy(), _matrix(q.column("vec"), dim), q.column("lists").to_pylist()
+            x32, rounded = single(x)
             for a in range(0, len(q), 64):
                 d = np.full((min(64, len(q) - a), len(p)), np.inf, np.float32)
                 for name, rows_of in members.items():
                     askers = [i for i in range(len(d)) if name in asked_of[a + i]]
                     if askers:
-                        d[np.ix_(askers, rows_of)] = shared.value.distances(x[a : a + len(d)][askers], name, codes[rows_of])
+                        d[np.ix_(askers, rows_of)] = shared.value.distances(x32[a : a + len(d)][askers], name, codes[rows_of])
                 d[qid[a : a + len(d), None] == ids[None, :]] = np.inf
-                for i, (best, exact) in enumerate(nearest_exact(x[a : a + len(d)], np.sqrt(d), error, ids, vectors, k)):
+                for i, (best, exact) in enumerate(nearest_exact(x[a : a + len(d)], np.sqrt(d), error[None, :] + rounded[a : a + len(d), None], ids, vectors, k)):
                     found.append((np.full(len(best), qid[a + i]), ids[best], exact))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
         return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float64), strict=True)], ["query_id", "vec_id", "score"])

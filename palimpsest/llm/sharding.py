@@ -19,8 +19,8 @@ from pyspark.sql import Window as W
 from palimpsest.llm.common import staged
 
 PREFIX = 3
-#: Cells per prefix in which slots are counted, so a hot group is spread.
-CELLS = 16
+#: Rows of a cell, about: slots are counted by cells, so a text with very many copies is spread.
+CELL_ROWS = 1 << 16
 
 
 class GroupSums:
@@ -101,18 +101,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
 
     Size is the UTF-8 bytes of the text plus 1 (null: as empty). Rows of equal texts share a shard; the largest shard
     is as small as any cut of the digest order allows. Slots run from 0 without gaps in each shard. Repeated rows count
-    and are placed each. Fewer groups than shards leave shards empty; an empty table gives an empty result.
+    and are placed each; rows without an id are rows like others. Columns besides the two are ignored. Fewer groups than shards leave shards empty; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("digest"))
-    rows = staged(rows, "shard-rows")
-    groups = staged(rows.groupBy("digest").agg(F.sum("size").alias("bytes")).sortWithinPartitions("digest"), "shard-groups")
+    rows = staged(rows.withColumn("spread", F.xxhash64("doc_id", F.monotonically_increasing_id())), "shard-rows")
+    sums = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
+    groups = staged(sums.repartitionByRange("digest").sortWithinPartitions("digest"), "shard-groups")  # so that looks below a prefix skip files
     _, cuts = minimax_cuts(groups, shards)
-    cell = [F.col("shard"), F.substring("digest", 1, PREFIX).alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell")]
-    rows = rows.withColumn("shard", place(F.col("digest"), cuts)).select("*", *cell[1:])
+    rows = rows.withColumn("shard", place(F.col("digest"), cuts)).withColumn("part", F.substring("digest", 1, PREFIX))
+    parts = rows.groupBy("shard", "part").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("cells"))
+    rows = rows.join(F.broadcast(parts), ["shard", "part"]).withColumn("cell", F.pmod("spread", "cells"))  # 16 ** PREFIX + shards rows at most
     key = ["shard", "part", "cell"]
-    # at most (16 ** PREFIX + shards) * CELLS rows, whatever the input
-    cells = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))  # about a row per CELL_ROWS rows, and per part
     cells = cells.select(*key, (F.sum("n").over(W.partitionBy("shard").orderBy("part", "cell")) - F.col("n")).alias("before"))
     numbered = rows.withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy("digest", "doc_id")))
-    return numbered.join(F.broadcast(cells), key).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("k") - 1).alias("slot"))
+    return numbered.join(cells, key).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("k") - 1).alias("slot"))

@@ -31,7 +31,7 @@ def folder(spark, corpus, tmp_path_factory):
     docs = [(i, t, ["en", "fr"][i % 2], f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(rng.random() < 0.3)) for i in range(0, len(texts), 2)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    vectors = [(i, [rng.gauss(0, 1) for _ in range(8)], 0) for i in range(300)] + [(300, None, 0), (400, [0.0] * 8, 0), (500, [float("inf")] * 8, 0), (600, [1e200] * 8, 0), (601, [1e200] * 7 + [1.0000001e200], 0)]
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(8)], 0) for i in range(300)] + [(300, None, 0), (400, [0.0] * 8, 0), (500, [float("inf")] * 8, 0), (600, [1e100] * 8, 0), (601, [1e100] * 7 + [1.0000001e100], 0), (602, [0.1 + 1e-12] * 8, 0), (700, [0.1] * 8, 0)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").write.parquet(f"{path}/embeddings.parquet")
     return str(path), {i: t for i, t, *_ in docs}, dict((i, v) for i, v, _ in vectors)
 
@@ -105,7 +105,10 @@ def test_op7(spark, folder):
         assert [r for r, _, _ in got] == list(range(1, 11))
         exact = {i: x for x, i in d}
         assert all(s == exact[i] or abs(s - exact[i]) <= 1e-12 * exact[i] for _, i, s in got)
-        found, total = found + len({i for _, i, _ in got} & {i for _, i in d[:10]}), total + 10
+        if q in (600, 700):  # differences that single precision doesn't hold
+            assert got[0][1] == d[0][1] == {600: 601, 700: 602}[q]
+        else:
+            found, total = found + len({i for _, i, _ in got} & {i for _, i in d[:10]}), total + 10
     assert found >= 0.9 * total
 
 
