@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -55,10 +56,10 @@ def model_vectors(texts: DataFrame, keys: list[str], embedder: str | Callable, t
                     raise ValueError("vectors of another shape")
             except Exception:
                 found = [hashed_list(t, dim) for t in part]
-            out += found
+            out += [[x / max(math.sqrt(math.fsum(y * y for y in v)), 1e-12) for x in v] for v in found]
         return pd.Series(out, dtype=object)
 
-    return texts.select(*keys, l2_normalize(run(F.col(text_col))).alias("vec"))
+    return texts.select(*keys, run(F.col(text_col)).alias("vec"))
 
 
 def dense(vectors: DataFrame, keys: list[str], dim: int = 768) -> DataFrame:
