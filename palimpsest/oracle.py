@@ -109,6 +109,22 @@ FA_PAIRS = """
     fa_x as (select pair_id, doc_side, unnest(lines) as text, generate_subscripts(lines, 1) - 1 as line from fa_p)"""
 
 
+_NAMED = """
+    fa_d as (select doc_id, string_split(text, chr(10)) as lines, sha256(text) as digest, coalesce(doc_id::varchar, '~' || sha256(text)) as base from documents where text is not null),
+    fa_c as (select *, row_number() over (partition by base order by digest) as copy from fa_d),
+    fa_n as (select case copy when 1 then base else base || '#' || copy end as name, doc_id, lines from fa_c),"""
+
+#: Every document by itself, in the place of FA_PAIRS.
+SINGLE_DOCUMENTS = f"""{_NAMED}
+    fa_x as (select name as pair_id, 'legacy' as doc_side, unnest(lines) as text, generate_subscripts(lines, 1) - 1 as line from fa_n)"""
+
+#: Every document with the one before it that has the same first line, in the place of FA_PAIRS.
+DOCUMENT_PAIRS = f"""{_NAMED}
+    fa_b as (select *, lag(name) over (partition by lines[1] order by doc_id nulls first, name) as before from fa_n),
+    fa_p as (select before as pair_id, 'modern' as doc_side, lines from fa_b where before is not null
+             union all select b.before, 'legacy', n.lines from fa_b b join fa_n n on n.name = b.before),
+    fa_x as (select pair_id, doc_side, unnest(lines) as text, generate_subscripts(lines, 1) - 1 as line from fa_p)"""
+
 def fa_blocks(pitch: bool = False) -> str:
     y0 = "((line % 4) * 40" + (" - case when line % 3 <> 0 then 26 else 0 end" if pitch else "") + ")::double"
     return f"{FA_PAIRS},\n    blocks as (select pair_id, doc_side, (line // 4 + 1)::int as page, (line % 4)::int as block_pos, text, 50.0::double as x0, {y0} as y0, 550.0::double as x1, {y0} + 12 as y1, 10.0::double as font_size, false as is_bold from fa_x)"

@@ -405,19 +405,21 @@ query("score_pairs_titles")(lambda s, d: score_pairs(s, d, _page_titles))
 
 @query("hybrid_score_lexical")
 def hybrid_score_lexical(s, d):
-    """The hybrid score of every leaf pair with the real lexical ratio; hybrid_score leaves that out, as its SQL does."""
+    """The hybrid score of every leaf pair with the real lexical ratio, which hybrid_score_terms leaves out, as its SQL does."""
     nodes = document_nodes(s, d)
     v = staged(vectors.hash_vectors(tree.leaves(nodes), [*SIDE, "node_id"]), "vectors")
     p = align.score_pairs(leaf_pairs(nodes), v, ["pair_id"])
     return p.select(*PAIR, F.round("raw", 6).alias("raw"), F.round("candidate", 6).alias("candidate"))
 
 
-# -- the queries above over all documents: their SQL covers SMALL only, so the whole has names of its own and no SQL
+# -- the queries above whose SQL covers SMALL only, over every document or every pair, with SQL for that
 
-WHOLE = {name: adapters.single_documents for name in ("scan_blocks", "dedupe_headers", "merge_blocks", "bbox_union", "chunks", "build_nodes_documents", "hash_embed")}
-WHOLE |= {name: adapters.document_pairs for name in ("heading_pairs", "kind_pairs", "token_balance", "page_bonus", "candidate_pairs", "cosine_pairs")}
-for _name, _pairs in WHOLE.items():
-    query(f"{_name}_all")(lambda s, d, f=QUERIES[_name], pairs=_pairs: f(s, d, pairs))
+WHOLE = {name: (f"{name}_all", adapters.single_documents) for name in ("scan_blocks", "dedupe_headers", "merge_blocks", "bbox_union", "chunks", "build_nodes_documents", "hash_embed")}
+WHOLE |= {name: (f"{name}_all", adapters.document_pairs) for name in ("heading_pairs", "kind_pairs", "token_balance", "page_bonus", "candidate_pairs", "cosine_pairs")}
+WHOLE["hybrid_score"] = ("hybrid_score_terms", adapters.document_pairs)
+_SQL_PAIRS = {adapters.single_documents: O.SINGLE_DOCUMENTS, adapters.document_pairs: O.DOCUMENT_PAIRS}
+for _name, (_whole, _pairs) in WHOLE.items():
+    query(_whole, ORACLES[_name].replace(O.FA_PAIRS, _SQL_PAIRS[_pairs]))(lambda s, d, f=QUERIES[_name], pairs=_pairs: f(s, d, pairs))
 
 
 # -- alignment
@@ -567,3 +569,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("compare_documents")(flagship)
+
+
+#: The queries over whole tables: all but those that WHOLE replaces.
+REGISTERED = {name: f for name, f in QUERIES.items() if name not in WHOLE}
