@@ -100,7 +100,33 @@ _HASHED = "('0x' || substr(md5('{seed}:' || coalesce(cast(doc_id as varchar), '~
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+#: CRC-32 of the bytes of t, by the table of its polynomial.
+_CRC_BIT = "case when {c} % 2 = 1 then xor({c} // 2, 3988292384) else {c} // 2 end"
+_CRC_TABLE = f"select list(c order by n) as crc from (with recursive r as (select n, n::bigint as c, 0 as k from range(256) as x(n) union all select n, {_CRC_BIT.format(c='c')}, k + 1 from r where k < 8) select n, c from r where k = 8)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, octet_length(encode(t)) + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::bigint)), lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1])), 4294967295::bigint)"
+
 ORACLES: dict[str, str] = {
+    # slots as they are where no part of the digest order has more than CELL_ROWS rows
+    "op5_minimax_shards": f"""
+        with recursive d as (select doc_id, coalesce(text, '') as t from documents),
+        rows_of as (select doc_id, t, hex(encode(t)) as h, octet_length(encode(t)) + 1 as size, sha256(t) as digest from d),
+        groups as (select digest, bytes, (sum(bytes) over (order by digest))::bigint as upto from (select digest, sum(size)::bigint as bytes from rows_of group by digest)),
+        sums as (select list(upto order by upto) as ends, max(upto) as total, max(bytes) as largest from groups),
+        search as (
+            select greatest(largest, (total + 7) // 8) as low, total // 8 + largest + 1 as high, 0 as s, 0::bigint as reached from sums
+            union all
+            select case when s < 8 or reached >= total then low else (low + high) // 2 + 1 end, case when s = 8 and reached >= total then (low + high) // 2 else high end,
+                   case when s < 8 then s + 1 else 0 end, case when s < 8 then list_max(list_filter(ends, lambda x: x <= reached + (low + high) // 2)) else 0 end
+            from search, sums where low < high),
+        capacity as (select min(low) as c from search where low = high),
+        cuts as (
+            select 0 as s, 0::bigint as reached from capacity
+            union all select s + 1, list_max(list_filter(ends, lambda x: x <= reached + c)) from cuts, capacity, sums where s < 8),
+        shards as (select digest, count(*) filter (reached < upto) - 1 as shard from groups, cuts group by digest),
+        table_of as ({_CRC_TABLE})
+        select doc_id, size::bigint as size, {_CRC} as text_crc32, 'bytes' as law, shard::int as shard,
+               row_number() over (partition by shard order by digest, doc_id nulls first) - 1 as slot, null::int as grown_shard
+        from rows_of join shards using (digest), table_of""",
     "op4_count_min_substrings": f"""
         with w as (select doc_id, coalesce(regexp_extract_all(text, {_WORD}), []) as words from documents),
         windows as (select doc_id, i, words[i:i + 12] as win from (select *, unnest(range(1, len(words) - 11)) as i from w)),
