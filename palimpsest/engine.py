@@ -6,16 +6,17 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.logs import get_logger, setup_logging
 from palimpsest.params import Params, load_params
 from palimpsest.sources.adapters import page_counts, pdf_blocks
 from palimpsest.streaming.progress import compare_stream
 
 
 def compare(blocks: DataFrame, pages: DataFrame | None = None, params: Params = Params(), out_dir: str | None = None) -> dict[str, DataFrame]:
-    """nodes, changes, packs, summaries and counts of all pairs in ``blocks``."""
+    """nodes, vectors, changes, packs, summaries and counts of all pairs in ``blocks``."""
     last = None
     for last in compare_stream(blocks, page_counts(blocks) if pages is None else pages, params, out_dir):
-        pass
+        get_logger("engine").debug("%s (%d %%): %s", last.stage, last.percent, last.message)
     return last.result
 
 
@@ -25,7 +26,10 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--modern", required=True)
     parser.add_argument("--output-root", default="outputs")
     parser.add_argument("--config")
+    parser.add_argument("--logs-dir", help="folder of log files on the driver; none are written without it")
     args = parser.parse_args(argv)
+    if args.logs_dir:
+        setup_logging(args.logs_dir)
     spark = SparkSession.builder.appName("compare").getOrCreate()
     sides = []
     for side in ("legacy", "modern"):

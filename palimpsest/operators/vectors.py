@@ -17,7 +17,7 @@ from palimpsest.functions import text as T
 from palimpsest.operators.layout import SIDE
 
 #: Fixed limits of the context texts.
-CHILDREN, CHILD_CHARS, SECTION_CHARS, BODY_CHARS, NEIGHBOUR_CHARS = 4, 1200, 2200, 1800, 320
+CHILDREN, CHILD_CHARS, SECTION_CHARS, BODY_CHARS, NEIGHBOUR_CHARS, PLAIN_CHARS = 4, 1200, 2200, 1800, 320, 1200
 
 
 def hash_vectors(texts: DataFrame, keys: list[str], text_col: str = "text", dim: int = 768) -> DataFrame:
@@ -129,6 +129,13 @@ def body_contexts(nodes: DataFrame, window: int = 1) -> DataFrame:
     return b.select(*SIDE, "node_id", T.truncate_text(F.concat_ws("\n\n", *parts), BODY_CHARS).alias("context_text"))
 
 
+def plain_contexts(nodes: DataFrame) -> DataFrame:
+    """pair_id, doc_side, node_id, context_text of nodes of any kind: path and text."""
+    text = F.when(F.col("text") != "", T.strip(F.col("text")))
+    parts = [F.when(F.size("path") > 0, F.concat(F.lit("Path: "), T.path_text(F.col("path")))), text]
+    return nodes.select(*SIDE, "node_id", T.truncate_text(F.concat_ws("\n\n", *parts), PLAIN_CHARS).alias("context_text"))
+
+
 def embed_plan(nodes: DataFrame, sections: bool = True, bodies: bool = True, window: int = 1) -> DataFrame:
     """pair_id, doc_side, node_id, level, ord, section_id, context_text: what to embed, in leaf order per level."""
     parts = []

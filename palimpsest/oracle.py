@@ -230,6 +230,8 @@ CONTEXTS = f"""
             from leaves l join sections_of o using (pair_id, doc_side, node_id) left join leaves s on s.pair_id = l.pair_id and s.doc_side = l.doc_side and s.node_id = o.section_id
             left join near1 n on n.pair_id = l.pair_id and n.doc_side = l.doc_side and n.node_id = l.node_id where l.kind in {BODY}))"""
 
+PLAIN_CONTEXT = truncate(f"concat_ws({_SEP}, case when len(path) > 0 then 'Path: ' || {path_text('path')} end, case when text <> '' then {strip('text')} end)", 1200)
+
 PAIRS = f"""
     vec as (select pair_id, doc_side, node_id, bucket, c / sqrt(sum(c * c) over (partition by pair_id, doc_side, node_id)) as w from (
         select pair_id, doc_side, node_id, {bucket("token", 768)} as bucket, count(*) as c from (select pair_id, doc_side, node_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as token from leaves) group by all)),

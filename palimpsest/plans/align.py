@@ -112,12 +112,12 @@ def leaf_vectors(leaves: DataFrame, params: Params) -> DataFrame:
     return dense.select(*keys, F.posexplode("vec").alias("bucket", "w")).where("w <> 0")
 
 
-def align_stages(nodes: DataFrame, params: Params = Params(), last: str = "unmatched") -> dict[str, DataFrame]:
+def align_stages(nodes: DataFrame, params: Params = Params(), last: str = "unmatched", vectors: DataFrame | None = None) -> dict[str, DataFrame]:
     """matched pairs of the stages 'sections', 'children' and 'fallback', and 'unmatched' leaves of either side; stages
-    after ``last`` aren't run."""
+    after ``last`` aren't run. ``vectors`` are those of leaf_vectors(), where they are there already."""
     leaves = nodes.where("leaf_pos is not null").join(sections_of(nodes), [*SIDE, "node_id"], "left")
     leaves = staged(leaves.select(*SIDE, *FIELDS, "section_id"), "align-leaves")
-    vectors = staged(leaf_vectors(leaves, params), "align-vectors")
+    vectors = staged(leaf_vectors(leaves, params), "align-vectors") if vectors is None else vectors
     heads, body = leaves.where("kind = 'section'"), leaves.where("kind <> 'section'")
     sections = staged(match(*sides(heads), vectors, ["pair_id"], params, "sections"), "align-sections")
 
@@ -147,9 +147,9 @@ def align_stages(nodes: DataFrame, params: Params = Params(), last: str = "unmat
 STAGE_ORDER = ("sections", "children", "fallback", "leftover_sections", "leftover_bodies")
 
 
-def align(nodes: DataFrame, params: Params = Params()) -> DataFrame:
+def align(nodes: DataFrame, params: Params = Params(), vectors: DataFrame | None = None) -> DataFrame:
     """The change set: one record per matched pair and per leaf without a partner, numbered by match_seq per pair."""
-    s = align_stages(nodes, params)
+    s = align_stages(nodes, params, vectors=vectors)
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     pairs = s["sections"].unionByName(s["children"]).unionByName(s["fallback"]).drop("cos", "candidate").withColumn("evidence_ids", F.array("legacy_id", "modern_id"))
     u, zero = s["unmatched"], F.lit(0.0)

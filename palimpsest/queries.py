@@ -334,6 +334,11 @@ def paragraph_context(s, d):
     return vectors.body_contexts(page_nodes(s, d))
 
 
+@query("plain_context", f"{FB} select {KEY}, {O.PLAIN_CONTEXT} as context_text from nodes")
+def plain_context(s, d):
+    return vectors.plain_contexts(page_nodes(s, d))
+
+
 @query(
     "embed_plan",
     f"{FB} select {KEY}, level, row_number() over (partition by pair_id, doc_side, level order by leaf_pos) - 1 as ord, section_id, context_text from (select *, 'section' as level from section_context union all select *, 'body' as level from paragraph_context) join leaves using (pair_id, doc_side, node_id) join sections_of using (pair_id, doc_side, node_id)",

@@ -14,7 +14,8 @@ from palimpsest.params import Params, load_params
 from palimpsest.plans import report
 from palimpsest.plans.summarize import describe_edits
 from palimpsest.sources.adapters import BLOCKS
-from palimpsest.streaming.progress import compare_stream
+from palimpsest.logs import get_logger, setup_logging
+from palimpsest.streaming.progress import compare_stream, summary_stream
 
 OLD = [(1, 0, 10, 9, "ACME CORP CONFIDENTIAL"), (1, 1, 50, 14, "1. Scope"), (1, 2, 80, 10, "This policy applies to all staff"), (1, 3, 104, 10, "and contractors."), (1, 4, 150, 10, "• Keep records safe."), (2, 0, 10, 9, "ACME CORP CONFIDENTIAL"), (2, 1, 50, 10, "Records are kept for 30 days."), (2, 2, 90, 14, "2. Retention"), (2, 3, 120, 10, "Delete after 90 days.")]
 NEW = [*OLD[:6], (2, 1, 50, 10, "Records are kept for 90 days."), (2, 2, 90, 14, "3. Appeals"), (2, 3, 120, 10, "Staff may appeal.")]
@@ -101,6 +102,28 @@ def test_progress(spark):
     events = list(compare_stream(blocks(spark, ("p", OLD, NEW)), blocks(spark, ("p", OLD, NEW)).groupBy("pair_id", "doc_side").agg({"page": "max"}).withColumnRenamed("max(page)", "page_count"), callback=seen.append))
     assert [e.percent for e in events] == sorted(e.percent for e in events) and events[-1].stage == "done" and seen == events
 
+    assert [e.stage for e in events].index("embedding") < [e.stage for e in events].index("matching")
+
+
+def test_summary_stream(spark, result):
+    got = list(summary_stream(result[0], "p"))
+    want = {r["match_seq"]: r["summary"] for r in result[0]["summaries"].where("pair_id = 'p'").collect()}
+    kept = {r["match_seq"]: r for r in result[0]["changes"].where("pair_id = 'p' and change_type <> 'unchanged'").collect()}
+    last = {e.message.split()[-1].split("/")[0]: e.summary for e in got}
+    assert {int(k): v.split(": ", 1)[1] for k, v in last.items()} == {k: want[k].strip() for k in kept}
+    assert list(summary_stream(result[0], "same")) == [] and all(e.percent <= 92 for e in got)
+
+
+def test_vectors_written(spark, result):
+    back = spark.read.parquet(f"{result[1]}/embeddings")
+    assert back.count() == result[0]["vectors"].count() > 0 and set(back.columns) == {"pair_id", "doc_side", "node_id", "bucket", "w"}
+
+
+def test_logs(tmp_path):
+    path = setup_logging(tmp_path / "logs")
+    get_logger("x").debug("said")
+    assert "said" in path.read_text()
+
 
 def test_describe_edits():
     assert describe_edits("modified", "keep 30 days", "keep 90 days").startswith("Rephrased or replaced '3' with '9'.")
