@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from palimpsest.functions import text as T
 from palimpsest.operators.layout import SIDE, drop_repeated_headers, median_font, merge_blocks
+from palimpsest.plans.staging import staged
 
 NODE_COLUMNS = [*SIDE, "node_id", "page", "kind", "path", "text", "parent_id", "child_pos", "leaf_pos", "start_char", "end_char", "x0", "y0", "x1", "y1", "token_count", "stable_hash"]
 
@@ -64,8 +65,9 @@ def build_nodes(blocks: DataFrame, pages: DataFrame, cap: int = 220) -> DataFram
     source_path, the text of the document node.
 
     Documents without blocks have a document node and page nodes only. Blocks of white space are left out."""
-    kept = drop_repeated_headers(blocks, pages)
-    pathed = heading_paths(classify(merge_blocks(kept, median_font(kept))))
+    # both are read twice, and each reading would run the joins and windows below them again
+    kept = staged(drop_repeated_headers(blocks, pages), "kept-blocks")
+    pathed = staged(heading_paths(classify(merge_blocks(kept, median_font(kept)))), "pathed-blocks")
     heads = pathed.where("heading").select(*SIDE, "page", "pos", F.lit(0).alias("part"), F.lit("section").alias("kind"), "path", "t", T.short_title(F.col("t"), True).alias("text"), "x0", "y0", "x1", "y1")
     body = chunks(pathed, cap).withColumn("t", F.col("text")).select(*heads.columns)
     leaves = heads.unionByName(body)
