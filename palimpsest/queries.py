@@ -419,12 +419,14 @@ def hybrid_score_lexical(s, d):
 
 # -- the queries above whose SQL covers SMALL only, over every document or every pair, with SQL for that
 
-WHOLE = {name: (f"{name}_all", adapters.single_documents) for name in ("scan_blocks", "dedupe_headers", "merge_blocks", "bbox_union", "chunks", "build_nodes_documents", "hash_embed")}
-WHOLE |= {name: (f"{name}_all", adapters.document_pairs) for name in ("heading_pairs", "kind_pairs", "token_balance", "page_bonus", "candidate_pairs", "cosine_pairs")}
-WHOLE["hybrid_score"] = ("hybrid_score_terms", adapters.document_pairs)
+WHOLE = {name: adapters.single_documents for name in ("scan_blocks", "dedupe_headers", "merge_blocks", "bbox_union", "chunks", "build_nodes_documents", "hash_embed")}
+WHOLE |= {name: adapters.document_pairs for name in ("heading_pairs", "kind_pairs", "token_balance", "page_bonus", "candidate_pairs", "cosine_pairs")}
+#: SQL over all documents, by the names of the queries over them.
+WHOLE_ORACLES: dict[str, str] = {}
 _SQL_PAIRS = {adapters.single_documents: O.SINGLE_DOCUMENTS, adapters.document_pairs: O.DOCUMENT_PAIRS}
-for _name, (_whole, _pairs) in WHOLE.items():
-    query(_whole, ORACLES[_name].replace(O.FA_PAIRS, _SQL_PAIRS[_pairs]))(lambda s, d, f=QUERIES[_name], pairs=_pairs: f(s, d, pairs))
+for _name, _whole, _pairs in [*((n, f"{n}_all", p) for n, p in WHOLE.items()), ("hybrid_score", "hybrid_score_terms", adapters.document_pairs)]:
+    query(_whole)(lambda s, d, f=QUERIES[_name], pairs=_pairs: f(s, d, pairs))
+    WHOLE_ORACLES[_whole] = ORACLES[_name].replace(O.FA_PAIRS, _SQL_PAIRS[_pairs])
 
 
 # -- alignment
@@ -576,5 +578,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("compare_documents")(flagship)
 
 
-#: The queries over whole tables: all but those that WHOLE replaces.
-REGISTERED = {name: f for name, f in QUERIES.items() if name not in WHOLE}
+#: The queries over whole tables, all but those that WHOLE and hybrid_score_terms replace, and their SQL.
+REGISTERED = {name: f for name, f in QUERIES.items() if name not in {*WHOLE, "hybrid_score"}}
+REGISTERED_ORACLES = {name: sql for name, sql in (ORACLES | WHOLE_ORACLES).items() if name in REGISTERED}
