@@ -21,7 +21,7 @@ Each pair of points meets in one task at most, so links are counted exactly.
 from __future__ import annotations
 
 import hashlib
-from math import ceil, log2
+from math import ceil, floor, log, log2
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,6 +38,8 @@ GROUPS, MOST_GROUPS, LEAF_POINTS, LEAF_BYTES, NODE = 64, 1024, 1024, 4 << 20, 16
 HOT = 255
 #: Ratio between the sizes of neighbouring bands.
 BAND = 1.2
+#: A leaf's number has its band above so many bits.
+BAND_BITS = 52
 
 
 def shingle_sets(column, n: int):
@@ -199,7 +201,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "do
     linkable = rows.where("n > 0 and doc_id is not null")
     placed = staged(join_counted(linkable, classes, "digest", n_rows, "copies").select("doc_id", "n", "digest", "point", "rep", "copies"), "ngram-rows")
 
-    tasks = _tasks(seen, classes)
+    tasks = _tasks(seen, classes, percent)
     links = _verify(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), classes, tasks, n, percent)
     # rows of one id are one node: their points are tied
     ties = placed.groupBy("doc_id").agg(F.min("point").alias("a"), F.max("point").alias("z")).where("a < z").join(placed.select("doc_id", F.col("point").alias("b")), "doc_id").select("a", "b")
@@ -289,11 +291,61 @@ def _points(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     return seen.select("doc_id", "n", "digest"), seen.where("first is not null"), seen.count()
 
 
-def _tasks(seen: DataFrame, classes: DataFrame) -> DataFrame:
-    """(left, right, home, point): the points (each of leaf ``home``) of leaves ``left`` <= ``right`` that share a coordinate of their prefixes with a
-    point of the other leaf (or another of the same)."""
+def meeting(apart: int):
+    """The function of batches (token, leaf, point, before) that gives the points that meet in each pair of leaves; bands of leaves
+    that differ by more than ``apart`` don't meet."""
     import pyarrow as pa
 
+    def meet(batches):
+        """Rows sorted by n-gram, leaf and point, an n-gram at a time: the points that it brings into each task.
+
+        Near copies share runs of n-grams. Points whose n-grams before this one are equal met at that one already (it is in
+        both prefixes, and so on back to the first of the run), so they don't meet again here."""
+        held: list = []
+
+        def out(rows: np.ndarray):
+            rows = np.unique(rows, axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], ["left", "right", "home", "point"])
+
+        def groups(rows: np.ndarray):
+            """(leaf, point, run) of each n-gram of several points that aren't all of one run."""
+            starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            size = np.diff(np.append(starts, len(rows)))
+            run = np.where(rows[:, 4] != 0, -1 - np.arange(len(rows)), rows[:, 3])  # without an n-gram before, a run of its own
+            first = rows[:, 4] != 0
+            same = (run == np.repeat(run[starts], size)) & ~first
+            for g in np.flatnonzero((size > 1) & ~np.logical_and.reduceat(same, starts)).tolist():
+                s, e = starts[g], starts[g] + size[g]
+                ids = np.unique(np.stack([first[s:e], run[s:e]], 1), axis=0, return_inverse=True)[1].reshape(-1)
+                yield rows[s:e, 1], rows[s:e, 2], ids
+
+        def tasks_of(leaf: np.ndarray, point: np.ndarray, run: np.ndarray) -> np.ndarray:
+            leaves, at = np.unique(leaf, return_inverse=True)
+            here = np.zeros((run.max() + 1, len(leaves)), np.int64)  # points per run and leaf
+            np.add.at(here, (run, at), 1)
+            who, other = np.nonzero((here.sum(0) > here[run]) & (np.abs((leaf >> BAND_BITS)[:, None] - (leaves >> BAND_BITS)) <= apart))
+            mine, other = leaf[who], leaves[other]
+            return np.stack([np.minimum(mine, other), np.maximum(mine, other), mine, point[who]], 1)
+
+        for b in batches:
+            before = b.column(3)
+            held.append(np.stack([*(b.column(i).to_numpy() for i in range(3)), before.fill_null(0).to_numpy(), before.is_null().to_numpy(zero_copy_only=False)], 1))
+            rows = np.concatenate(held)
+            cuts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else np.zeros(0, np.int64)
+            if len(cuts) > 1:  # the last n-gram may go on in the next batch
+                held = [rows[cuts[-1] :]]
+                if found := [tasks_of(*g) for g in groups(rows[: cuts[-1]])]:
+                    yield out(np.concatenate(found))
+        if held and len(rows := np.concatenate(held)) > 1:
+            if found := [tasks_of(*g) for g in groups(rows)]:
+                yield out(np.concatenate(found))
+
+    return meet
+
+
+def _tasks(seen: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(left, right, home, point): the points (each of leaf ``home``) of leaves ``left`` <= ``right`` that share a coordinate of their prefixes with a
+    point of the other leaf (or another of the same)."""
     spark = seen.sparkSession
     points = seen.join(classes, "digest").where("doc_id = rep").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int"))
     points = staged(points.select("point", "band", "first", "bytes", "tokens", "hot"), "ngram-points")
@@ -301,6 +353,8 @@ def _tasks(seen: DataFrame, classes: DataFrame) -> DataFrame:
     bits = {r["band"]: max(0, ceil(log2(r["leaves"]))) for r in sizes("band").collect()}  # a row per band, so a hundred or so
     if not bits:
         return spark.createDataFrame([], "left long, right long, home long, point long")
+    # sets that link differ in size by 100 / percent at most, so by this many bands
+    apart = floor(log(100 / percent) / log(BAND)) + 1
     shift = F.lit(0)
     for band, b in bits.items():
         shift = F.when(F.col("band") == band, F.lit(b)).otherwise(shift)
@@ -311,46 +365,17 @@ def _tasks(seen: DataFrame, classes: DataFrame) -> DataFrame:
     cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.greatest(F.count(F.lit(1)) / LEAF_POINTS, F.sum("bytes") / LEAF_BYTES)).alias("parts"))
     n_points = points.count()
     placed = join_counted(points.select("point", "cell", "tokens", "hot"), cells, "cell", n_points, "m")
-    placed = staged(placed.withColumn("leaf", F.col("cell") * F.lit(1 << 20) + F.pmod(F.xxhash64("point"), "parts")).select("point", "leaf", "tokens", "hot"), "ngram-leaves")
-
-    def meet(batches):
-        """Rows sorted by n-gram, leaf and point, an n-gram at a time: the points that it brings into each task."""
-        held: list = []
-
-        def out(rows: np.ndarray):
-            rows = np.unique(rows, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], ["left", "right", "home", "point"])
-
-        def tasks_of(leaf: np.ndarray, point: np.ndarray) -> np.ndarray:
-            starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
-            leaves, size = leaf[starts], np.diff(np.append(starts, len(leaf)))
-            own = np.repeat(size > 1, size)
-            found = [np.stack([leaf[own], leaf[own], leaf[own], point[own]], 1)]
-            if len(leaves) > 1:
-                other = np.tile(leaves, len(leaf))
-                mine, who = np.repeat(leaf, len(leaves)), np.repeat(point, len(leaves))
-                far = mine != other
-                found.append(np.stack([np.minimum(mine, other)[far], np.maximum(mine, other)[far], mine[far], who[far]], 1))
-            return np.concatenate(found)
-
-        for b in batches:
-            held.append(np.stack([b.column(i).to_numpy() for i in range(3)], 1))
-            rows = np.concatenate(held)
-            cuts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else np.zeros(0, np.int64)
-            if len(cuts) > 1:  # the last n-gram may go on in the next batch
-                held = [rows[cuts[-1] :]]
-                several = [(s, e) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if e - s > 1]
-                if several:
-                    yield out(np.concatenate([tasks_of(rows[s:e, 1], rows[s:e, 2]) for s, e in several]))
-        if held and len(rows := np.concatenate(held)) > 1:
-            yield out(tasks_of(rows[:, 1], rows[:, 2]))
+    placed = staged(placed.withColumn("leaf", F.col("cell") * F.lit(1 << BAND_BITS - 32) + F.pmod(F.xxhash64("point"), "parts")).select("point", "leaf", "tokens", "hot"), "ngram-leaves")
 
-    usual = placed.select(F.explode("tokens").alias("token"), "leaf", "point")  # a token of a level below HOT is in few documents
-    met = usual.repartition("token").sortWithinPartitions("token", "leaf", "point").mapInArrow(meet, "left long, right long, home long, point long")
+    # a token of a level below HOT is in few documents; ``before`` is the one next before it in the point's prefix
+    chain = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.when(i > 0, F.get("tokens", i - 1)).alias("before")))
+    usual = placed.select(F.explode(chain).alias("t"), "leaf", "point").select("t.token", "leaf", "point", "t.before")
+    met = usual.repartition("token").sortWithinPartitions("token", "leaf", "point").mapInArrow(meeting(apart), "left long, right long, home long, point long")
     hot = placed.select(F.explode("hot").alias("token"), "leaf", "point")
     held = hot.groupBy("token", "leaf").agg(F.count(F.lit(1)).alias("m"))
     one, two = (held.select("token", F.col("leaf").alias(side), F.col("m").alias(f"m_{side}")) for side in ("left", "right"))
-    pairs = one.join(two, "token").where("left < right or (left = right and m_left > 1)").select("token", "left", "right")
+    near = F.abs(F.shiftright("left", BAND_BITS) - F.shiftright("right", BAND_BITS)) <= apart
+    pairs = one.join(two, "token").where("left < right or (left = right and m_left > 1)").where(near).select("token", "left", "right")
     into = pairs.select("token", F.col("left").alias("leaf"), "left", "right").unionByName(pairs.where("left < right").select("token", F.col("right").alias("leaf"), "left", "right"))
     crowd = hot.join(into, ["token", "leaf"]).select("left", "right", F.col("leaf").alias("home"), "point")
     return staged(met.unionByName(crowd).distinct(), "ngram-tasks")

@@ -109,6 +109,35 @@ def test_ngram_join_leaves(make, monkeypatch):
     assert out == brute_near(rows)
 
 
+def test_near_copies_meet_once():
+    """Points of two leaves with a run of 500 n-grams in common meet at its first, and again where a run of one of them begins."""
+    import palimpsest.llm.ngram_join as J
+
+    far = 9 << J.BAND_BITS
+    names = ["token", "leaf", "point", "before"]
+    chains = {(1, 10): range(500), (2, 20): range(500), (2, 21): [*range(300), 1000, *range(300, 500)], (far, 30): range(500)}
+    rows = sorted((t, leaf, point, b) for (leaf, point), c in chains.items() for t, b in zip(c, [-1, *c]))
+    table = pa.table({n: pa.array([None if n == "before" and r[i] < 0 else r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
+    met = [tuple(r.values()) for b in J.meeting(2)(table.to_batches(max_chunksize=7)) for r in b.to_pylist()]
+    assert set(met) == {(1, 2, 1, 10), (1, 2, 2, 20), (1, 2, 2, 21), (2, 2, 2, 20), (2, 2, 2, 21)}
+    assert len(met) <= 10
+
+
+def test_chains_of_near_copies(make):
+    """Copies of one text with words put in, so that runs of shared n-grams begin at many places."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(6):
+        words = [f"w{rng.integers(60 + 200 * g)}" for _ in range(90)]
+        for k in range(9):
+            text = list(words)
+            for _ in range(rng.integers(0, 5)):
+                text.insert(rng.integers(len(text)), f"x{rng.integers(4)}")
+            rows.append((100 * g + k, " ".join(text[rng.integers(3) :])))
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join(make(rows)).collect()}
+    assert out == brute_near(rows) and len({c for _, c, _ in out.values()}) < len(rows)
+
+
 def test_ngram_join_edges(make):
     assert ngram_join(make([])).count() == 0
     out = ngram_join(make([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "A B c d e f"), (2, ""), (3, None)])).collect()
