@@ -1,11 +1,13 @@
 """Fixed values of the text functions and scores."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scores as S
 from palimpsest.functions import text as T
-from palimpsest.plans.align import lexical_ratio
+from palimpsest.plans.align import lexical, lexical_ratio
 
 #: text, numbered heading, path, bullet, tokens, hash
 TEXTS = [
@@ -78,3 +80,23 @@ def test_features(spark):
     assert [one(S.kind_compatibility(F.lit(a).cast("string"), F.lit(b))) for a, b, _ in kinds] == [k for _, _, k in kinds]
     assert abs(lexical_ratio("Data must be kept for 30 days.", "Data must be kept for 90 days.") - 0.966667) < 1e-6
     assert (lexical_ratio("tide", "diet"), lexical_ratio("diet", "tide")) == (0.25, 0.5)
+
+
+def test_lexical_column(spark):
+    """Character for character what difflib gives, with few and with popular characters, beyond the BMP, and for nulls."""
+    rng, texts = random.Random(5), [None, "", "Σίσυφος ΟΔΟΣ", "İstanbul", "𝒳y😀z"]
+    for n in (1, 7, 60, 199, 200, 201, 450):
+        for letters in ("ab", "abcde ", "abcdefghijklmnopqrstuvwxyz .", "é😀İßabcDEF", "".join(map(chr, range(200, 600)))):
+            text = [rng.choice(letters) for _ in range(n)]
+            edited = [c if rng.random() < 0.95 else rng.choice(letters) for c in text[rng.randrange(3) :]]
+            texts += ["".join(text), "".join(edited)]
+    pairs = [(i, i ^ 1) for i in range(len(texts) - 1)] + [(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(800)]
+    rows = [(k, texts[i], texts[j]) for k, (i, j) in enumerate(pairs)]
+    got = spark.createDataFrame(rows, "k int, a string, b string").select("k", lexical(F.col("a"), F.col("b")).alias("r")).collect()
+    assert {r["k"]: r["r"] for r in got} == {k: lexical_ratio(a, b) for k, a, b in rows}
+
+
+def test_lexical_runs_in_the_jvm(spark):
+    """Python took a millisecond a pair, so 40 million pairs of a GB never ended."""
+    plan = spark.range(1).select(lexical(F.lit("a"), F.col("id").cast("string")).alias("r"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "palimpsest_lexical_ratio" in plan
