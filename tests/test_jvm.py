@@ -53,3 +53,13 @@ def test_pairs_are_scored_where_they_are_formed(spark):
     plan = p._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("palimpsest_terms") <= 1
     assert p.count() == 36 and p.where("legacy_pos = modern_pos").agg(F.min("cos")).first()[0] > 1 - 1e-9
+
+
+def test_pairs_of_one_group_are_spread(spark):
+    rows = [("p", side, f"{side}{i}", "section", ["1"], 1, 5, f"title {i}", i) for side in ("legacy", "modern") for i in range(64)]
+    nodes = spark.createDataFrame(rows, "pair_id string, doc_side string, node_id string, kind string, path array<string>, page int, token_count int, text string, leaf_pos int")
+    sides = align.sides(nodes)
+    spread, whole = (align.candidate_pairs(*sides, ["pair_id"], n) for n in (16, 1))
+    keys = ["legacy_id", "modern_id", "heading", "size_bonus"]
+    assert spread.count() == 64 * 64 and spread.select(keys).exceptAll(whole.select(keys)).count() == 0
+    assert spread.groupBy(F.spark_partition_id()).count().count() > 4
