@@ -63,3 +63,21 @@ def test_pairs_of_one_group_are_spread(spark):
     keys = ["legacy_id", "modern_id", "heading", "size_bonus"]
     assert spread.count() == 64 * 64 and spread.select(keys).exceptAll(whole.select(keys)).count() == 0
     assert spread.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_lexical_ratio_of_texts_with_many_equal_runs(spark):
+    r = random.Random(11)
+    known = ["".join(r.choices(letters, k=n)) for letters in ("ab", "abcdefgh ", "aé中\U0001d54f", "".join(map(chr, range(0x4E00, 0x4F00)))) for n in (1, 7, 60, 199, 200, 450)]
+    known += [k[5:40] + k[:30] + "x" + k[31:] for k in known]
+    df = spark.createDataFrame([(a, b) for a in known for b in known], "a string, b string")
+    for row in df.select("a", "b", align.lexical(F.col("a"), F.col("b")).alias("x")).collect():
+        assert row["x"] == align.lexical_ratio(row["a"], row["b"]), (row["a"], row["b"])
+
+
+def test_pairs_are_formed_in_as_many_tasks_as_the_session_shuffles_into(spark):
+    rows = [(str(p), side, f"{side}{i}", "paragraph", ["x"], 1, 1, f"word {i}", i) for p in range(40) for side in ("legacy", "modern") for i in range(3)]
+    nodes = spark.createDataFrame(rows, "pair_id string, doc_side string, node_id string, kind string, path array<string>, page int, token_count int, text string, leaf_pos int")
+    pairs = align.candidate_pairs(*align.sides(nodes), ["pair_id"])
+    tasks = pairs.select(F.spark_partition_id().alias("t"), "pair_id").distinct()
+    assert tasks.select("t").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks.count() == 40 and pairs.count() == 360
