@@ -98,14 +98,16 @@ class DigestIndex:
         )
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def insert(self, docs: DataFrame) -> None:
-        """Flush the memtables of a batch ``docs`` (doc_id, text) as runs of level 0."""
-        path = new_path(self.spark, "lsm-log")
+    def insert(self, docs: DataFrame, log: bool = True) -> None:
+        """Flush the memtables of a batch ``docs`` (doc_id, text) as runs of level 0. Without ``log``, rows() leaves the batch
+        out and no table of its rows is written."""
         rows = docs.select("doc_id", self.digest(F.col("text")).alias("digest"), F.pmod(F.spark_partition_id(), F.lit(MEMTABLES)).alias("run"))
-        rows.write.parquet(path)
-        log = self.spark.read.schema(rows.schema).parquet(path)
-        self.logs.append(log.select("doc_id", "digest"))
-        runs = self._write(log.groupBy("run", "digest").agg(self.best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "lsm-l0", "run")
+        if log:
+            path = new_path(self.spark, "lsm-log")
+            rows.write.parquet(path)
+            rows = self.spark.read.schema(rows.schema).parquet(path)
+            self.logs.append(rows.select("doc_id", "digest"))
+        runs = self._write(rows.groupBy("run", "digest").agg(self.best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "lsm-l0", "run")
         present = runs.select("run").distinct().count()
         self.levels[0].append((runs, present))
         level = 0
@@ -114,7 +116,7 @@ class DigestIndex:
             level += 1
 
     def rows(self) -> DataFrame:
-        """Every (doc_id, digest) inserted so far."""
+        """Every (doc_id, digest) inserted with a log so far."""
         return reduce(DataFrame.unionByName, self.logs)
 
     def _merged(self, runs: list[tuple[DataFrame, int]]) -> DataFrame:
@@ -198,7 +200,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts whose digest the index has once pass without a shuffle; the others are grouped by the text itself."""
     index = DigestIndex(docs.sparkSession, keep, digest)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    index.insert(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")))
+    index.insert(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), log=False)
     hits = index.entries().where("n > 1")
     maybe = hit_filter(hits, hits.count())(digest(text))
     rest = [c for c in docs.columns if c not in (id_col, text_col)]

@@ -228,3 +228,16 @@ def test_substring_dedup_edges(make):
     t = "a b c d"
     out = remove_repeated_windows(make([(None, t), (5, t), (5, t), (6, t), (1, None), (2, "")]), window=3).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in out) == [(0, 0), (1, 0), (2, 0), (5, 0), (5, 0), (6, 4)]
+
+
+def test_rows_without_copies_write_no_table_of_all_rows(spark, make, corpus, monkeypatch):
+    from palimpsest.llm import exact_dedup as module
+
+    made, path = [], module.new_path
+    monkeypatch.setattr(module, "new_path", lambda spark, name, *more: made.append(name) or path(spark, name, *more))
+    kept = {r["doc_id"] for r in module.without_copies(make(corpus), keep="max").collect()}
+    last = {}
+    for i, t in sorted(corpus, key=lambda r: r[0]):
+        last[t or ""] = i
+    assert kept == set(last.values())
+    assert made and "lsm-log" not in made
