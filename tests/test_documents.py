@@ -49,6 +49,15 @@ def test_linked_texts_are_those_of_the_pairs(spark):
     assert got == want and len({r["name"] for r in linked}) == len(linked)
 
 
+def test_lexical_ratio_of_one_text_with_many(spark):
+    r = random.Random(8)
+    bases = ["".join(r.choices("etaoin shrdlu", [12, 9, 8, 8, 7, 7, 15, 6, 6, 5, 4, 4, 3], k=n)) for n in (40, 63, 64, 65, 128, 150, 192, 199)]
+    known = [*bases, *[b[: len(b) // 2] + "é中" + b[len(b) // 3 :] for b in bases], bases[3][:50], "".join(r.choices("abc de", k=16384)), "".join(r.choices("abc de", k=16385))]
+    rows = spark.createDataFrame([(b, a) for b in known[:-2] for a in known], "b string, a string").coalesce(1)  # b stays while a changes
+    found = rows.select("a", "b", align.lexical(F.col("a"), F.col("b")).alias("x")).collect()
+    assert len(found) == len(known) * (len(known) - 2) and all(f["x"] == align.lexical_ratio(f["a"], f["b"]) for f in found)
+
+
 def test_many_rows_that_are_alike(spark):
     docs = spark.createDataFrame([(None, "Title\nwithout an id")] * 900 + [(7, "Title\nof one id")] * 600 + [(8, "Title\nof one id")], "doc_id long, text string")
     linked = adapters.linked_texts(docs)
