@@ -40,3 +40,14 @@ def test_sections_are_those_of_the_whole_tree(spark):
     want = tree.leaves(tree.build_nodes(blocks, adapters.page_counts(blocks)), "section").select(columns)
     got = tree.sections(blocks, adapters.page_counts(blocks))
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.collect())) and got.count() > 10
+
+
+def test_edges_of_blocks_are_those_of_the_pairs(spark):
+    nodes = leaves(spark, 300, ("section", "paragraph", "bullet", "clause"))
+    columns = ["pair_id", "legacy_id", "modern_id", "lex", "candidate"]
+    want = Q.score_nodes(nodes).select(columns)
+    for given in (nodes, Q.with_vectors(nodes)):
+        edges = align.block_edges(*align.sides(given), ["pair_id"], Params(), "id")
+        got = edges.select("pair_id", "legacy_id", "modern_id", F.round("lex", 6).alias("lex"), F.round("candidate", 6).alias("candidate"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 1000
+    assert edges.join(nodes.where("kind = 'clause'").select("pair_id", F.col("node_id").alias("legacy_id")), ["pair_id", "legacy_id"]).count() > 0
