@@ -51,3 +51,13 @@ def test_edges_of_blocks_are_those_of_the_pairs(spark):
         got = edges.select("pair_id", "legacy_id", "modern_id", F.round("lex", 6).alias("lex"), F.round("candidate", 6).alias("candidate"))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 1000
     assert edges.join(nodes.where("kind = 'clause'").select("pair_id", F.col("node_id").alias("legacy_id")), ["pair_id", "legacy_id"]).count() > 0
+
+
+def test_leaves_of_texts_have_the_sections_of_the_trees(spark):
+    rows = [(i, "\n".join(["Title", "words at first.", "1. SCOPE", "A sentence.", "• a point", "x " * 9 + str(i), "2. Terms", "Last one."][: 3 + i])) for i in range(6)] + [(9, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = adapters.document_blocks(docs).localCheckpoint()
+    want = align.leaves_of(tree.build_nodes(blocks, adapters.page_counts(blocks)))
+    got = align.document_leaves(adapters.linked_texts(docs), Params(), adapters.LINES_PER_PAGE)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.where("section_id is not null and kind <> 'section'").count() > 5
