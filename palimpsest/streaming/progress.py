@@ -48,7 +48,7 @@ def compare_stream(blocks: DataFrame, pages: DataFrame, params: Params = Params(
     summaries = staged(summarize.summarize(packs, params.summarizer), "summaries")
     yield tell("reporting", 95, "Writing reports")
     if out_dir:
-        report.write_reports(changes, out_dir, summaries)
+        report.write_reports(changes, out_dir, summaries, nodes)
     yield tell("done", 100, "Done", result={"nodes": nodes, "vectors": vectors, "changes": changes, "packs": packs, "summaries": summaries, "counts": align.count_changes(changes)})
 
 
