@@ -61,3 +61,14 @@ def test_leaves_of_texts_have_the_sections_of_the_trees(spark):
     got = align.document_leaves(adapters.linked_texts(docs), Params(), adapters.LINES_PER_PAGE)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert got.where("section_id is not null and kind <> 'section'").count() > 5
+
+
+def test_fallback_covers_the_pages(spark):
+    d = "/root/testdata/sf0.001"
+    found = Q.QUERIES["match_fallback"](spark, d).localCheckpoint()
+    nodes = Q.page_nodes(spark, d)
+    pages = found.join(nodes.select("pair_id").distinct(), "pair_id")
+    rows = pages.collect()
+    assert rows and len({(r["pair_id"], r["legacy_id"]) for r in rows}) == len({(r["pair_id"], r["modern_id"]) for r in rows}) == len(rows)
+    stages = align.align_stages(nodes)
+    assert sorted((r["pair_id"], r["legacy_id"], r["modern_id"]) for r in rows) == sorted((r["pair_id"], r["legacy_id"], r["modern_id"]) for r in stages["fallback"].collect())
